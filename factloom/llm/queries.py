@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from factloom.llm import components, tokens
+from factloom.llm import components, pieces, tokens
 from factloom.tables import table
 
 
+def p2_found(spark, folder):
+    judged = pieces.faulty_chunks(table(spark, folder, "chunks"), table(spark, folder, "pages"))
+    return judged.where("too_long or misses_boundary or wrong_overlap or stops_early").select("chunk_id")
+
+
+def p2_pieces(spark, folder):
+    return pieces.cut_pieces(table(spark, folder, "pages"), "id", "text").withColumnRenamed("id", "page_id")
+
+
 def p5_found(spark, folder):
     rows = table(spark, folder, "relationships").where("category = 'CORROBORATES'")
     groups = components.connected_groups(rows, "fact_a_id", "fact_b_id")
@@ -17,11 +26,23 @@ def p7_ids(spark, folder):
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p7_ids": p7_ids}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict:
     return {
+        "p2_found": """
+            with c as (
+                select c.*, p.text page, c.char_offset + length(c.text) - coalesce(c.header_prefix_len, 0) stop
+                from chunks c left join pages p on p.document_id = c.document_id and p.page_index = c.page_index),
+            w as (
+                select *, lag(stop) over o as before, row_number() over o = 1 as is_first, lead(id) over o is null as is_last
+                from c window o as (partition by document_id, page_index order by seq, id))
+            select id as chunk_id from w
+            where length(text) > 1200
+                or not is_last and right(text, 1) not in (' ', chr(10)) and regexp_matches(right(substring(text, header_prefix_len + 1), 200), '[ \n]')
+                or not is_first and char_offset <> before - 150
+                or is_last and stop < length(page)""",
         "p5_found": """
             with recursive link as (
                 select fact_a_id a, fact_b_id b from relationships where category = 'CORROBORATES' and fact_a_id <> fact_b_id
