@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.llm import components, pieces, tokens
+from pyspark.sql import functions as F
+
+from factloom.llm import components, lookalikes, pieces, tokens, truncation
 from factloom.tables import table
 
 
@@ -15,6 +17,15 @@ def p2_pieces(spark, folder):
     return pieces.cut_pieces(table(spark, folder, "pages"), "id", "text").withColumnRenamed("id", "page_id")
 
 
+def p3_found(spark, folder):
+    judged = lookalikes.quotes_on_pages(table(spark, folder, "evidence"), table(spark, folder, "pages"))
+    return judged.where("looks_same and not as_written").select(F.col("quote_id").alias("evidence_id"))
+
+
+def p3_pages(spark, folder):
+    return lookalikes.one_form(table(spark, folder, "pages"), "id", "text").withColumnRenamed("id", "page_id")
+
+
 def p5_found(spark, folder):
     rows = table(spark, folder, "relationships").where("category = 'CORROBORATES'")
     groups = components.connected_groups(rows, "fact_a_id", "fact_b_id")
@@ -25,8 +36,24 @@ def p7_ids(spark, folder):
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _judged(spark, folder):
+    return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark, folder):
+    return _judged(spark, folder).where("is_cut").select("doc_id")
+
+
+def p9_sources(spark, folder):
+    return truncation.cut_share(_judged(spark, folder))
+
+
+def p9_limits(spark, folder):
+    return truncation.length_limits(table(spark, folder, "documents"), "text", "source")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p7_ids": p7_ids}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
 
 
 def oracle_sql() -> dict:
