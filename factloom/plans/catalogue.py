@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from factloom.plans import quantities
+
+PARTS = (quantities,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in PARTS for k, v in part.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for part in PARTS if hasattr(part, "oracle_sql") for k, v in part.oracle_sql().items()}
