@@ -95,15 +95,15 @@ def quotes_on_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     keyed by page, together with the page's table of replaced words.
     """
     q = quotes.select(F.col("id").alias("quote_id"), "page_id", F.col("quote").alias("quote")).where("page_id is not null")
-    p = pages.select(F.col("id").alias("page_id"), F.col("text").alias("page")).where("page_id is not null")
+    p = pages.select(F.col("id").alias("page_id"), flat("text").alias("page")).where("page_id is not null")  # flat once a page, not once a quote
     words = p.select("page_id", F.explode(unusual_words("page")).alias("word")).union(q.select("page_id", F.explode(unusual_words("quote")).alias("word"))).distinct()
     canon = canonical_words(words.select("word"))
     maps = words.join(canon, "word").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "canon"))).alias("map"))
     both = q.join(p.join(maps, "page_id", "left"), "page_id")
     there = (F.length("quote") > 0) & (F.length("page") > 0)
-    written = F.coalesce(there & F.contains(flat("page"), flat("quote")), F.lit(False))
+    written = F.coalesce(there & F.contains(F.col("page"), flat("quote")), F.lit(False))
     both = both.withColumn("as_written", written)
-    same = F.col("as_written") | F.coalesce(there & F.col("map").isNotNull() & F.contains(with_words(flat("page"), F.col("map")), with_words(flat("quote"), F.col("map"))), F.lit(False))
+    same = F.col("as_written") | F.coalesce(there & F.col("map").isNotNull() & F.contains(with_words(F.col("page"), F.col("map")), with_words(flat("quote"), F.col("map"))), F.lit(False))
     return both.select("quote_id", "as_written", same.alias("looks_same"))
 
 
