@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import components, lookalikes, pieces, tokens, truncation
+from factloom.llm import components, lookalikes, names, pieces, tokens, truncation
 from factloom.tables import table
 
 
+def p1_found(spark, folder):
+    facts = table(spark, folder, "facts").where("subject_entity_id is null").withColumnRenamed("id", "fact_id")
+    return names.link_names(facts, "fact_id", "subject_raw", table(spark, folder, "entities"), "id", "canonical_label")
+
+
 def p2_found(spark, folder):
     judged = pieces.faulty_chunks(table(spark, folder, "chunks"), table(spark, folder, "pages"))
     return judged.where("too_long or misses_boundary or wrong_overlap or stops_early").select("chunk_id")
@@ -53,7 +58,7 @@ def p9_limits(spark, folder):
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
 
 
 def oracle_sql() -> dict:
