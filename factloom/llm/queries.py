@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import components, lookalikes, names, pieces, tokens, truncation
+from factloom.llm import components, containers, lookalikes, names, pieces, tokens, truncation
 from factloom.tables import table
 
 
@@ -41,6 +41,21 @@ def p7_ids(spark, folder):
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _filled(spark, folder, class_id):
+    row = table(spark, folder, "capacity_classes").where(F.col("class_id") == class_id).first()
+    sizes = tokens.encode(table(spark, folder, "documents"), "doc_id", "text", path=f"/opt/tokenizers/{row.tokenizer}.json", sizes_only=True)
+    return containers.fill(sizes, "doc_id", "n_tokens", row.capacity), row.capacity
+
+
+def p8_containers(spark, folder):
+    return _filled(spark, folder, 2)[0]
+
+
+def p8_fill(spark, folder):
+    reports = [containers.fill_report(*_filled(spark, folder, k)) for k in (1, 2, 3)]
+    return reports[0].union(reports[1]).union(reports[2])
+
+
 def _judged(spark, folder):
     return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source")
 
@@ -58,7 +73,7 @@ def p9_limits(spark, folder):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
 
 
 def oracle_sql() -> dict:
