@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import components, containers, lookalikes, names, pieces, tokens, truncation
+from factloom.llm import components, containers, lookalikes, names, pieces, scans, tokens, truncation
 from factloom.tables import table
 
 
@@ -31,6 +31,14 @@ def p3_pages(spark, folder):
     return lookalikes.one_form(table(spark, folder, "pages"), "id", "text").withColumnRenamed("id", "page_id")
 
 
+def p4_found(spark, folder):
+    return scans.read_scans(table(spark, folder, "pages")).found
+
+
+def p4_pages(spark, folder):
+    return scans.mended_pages(table(spark, folder, "pages"))
+
+
 def p5_found(spark, folder):
     rows = table(spark, folder, "relationships").where("category = 'CORROBORATES'")
     groups = components.connected_groups(rows, "fact_a_id", "fact_b_id")
@@ -73,7 +81,7 @@ def p9_limits(spark, folder):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pages": p3_pages, "p4_found": p4_found, "p4_pages": p4_pages, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sources": p9_sources, "p9_limits": p9_limits}
 
 
 def oracle_sql() -> dict:
