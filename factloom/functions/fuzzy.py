@@ -44,17 +44,33 @@ def token_set_ratio(a: str, b: str) -> float:
     return out
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string against windows of the longer one, the cut-off ones at its ends included."""
+def _places(short: str, long_: str, cutoff: float) -> set[int]:
+    """Starts of the windows that can reach ``cutoff``: with so few characters missing, one piece of ``short`` stands there whole."""
+    c, n = cutoff / 100, len(short)
+    missing = int(n * (1 - c / (2 - c)))
+    size = n // (missing + 1)
+    if not size:
+        return set(range(1 - n, len(long_)))
+    out: set[int] = set()
+    for k in range(0, n - size + 1, size):
+        at = long_.find(short[k : k + size])
+        while at >= 0:
+            out.update(range(at - k - missing - 1, at - k + missing + 2))
+            at = long_.find(short[k : k + size], at + 1)
+    return {s for s in out if -n < s < len(long_)}
+
+
+def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
+    """The best ratio of the shorter string against windows of the longer one, the cut-off ones at its ends included; 0 if it is below ``cutoff``."""
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long_ else 0.0
     n, best = len(short), 0.0
-    for start in range(1 - n, len(long_)):
+    for start in sorted(_places(short, long_, cutoff)) if cutoff else range(1 - n, len(long_)):
         best = max(best, ratio(short, long_[max(0, start) : start + n]))
         if best == 100.0:
             break
-    return best
+    return best if best >= cutoff else 0.0
 
 
 def _udf(f):
@@ -65,4 +81,9 @@ def _udf(f):
     return F.pandas_udf(run, T.DoubleType())
 
 
-set_ratio, sort_ratio, best_partial = _udf(token_set_ratio), _udf(token_sort_ratio), _udf(partial_ratio)
+set_ratio, sort_ratio = _udf(token_set_ratio), _udf(token_sort_ratio)
+
+
+def best_partial(cutoff: float):
+    """``partial_ratio`` as a UDF, 0 below ``cutoff``."""
+    return _udf(lambda a, b: partial_ratio(a, b, cutoff))

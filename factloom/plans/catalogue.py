@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import quantities
+from factloom.plans import quantities, reference
 
-PARTS = (quantities,)
+PARTS = (reference, quantities)
 
 
 def queries() -> dict:

@@ -54,3 +54,18 @@ def test_fuzzy(spark):
     assert fuzzy.partial_ratio("abcd", "xxabcdxx") == 100 and fuzzy.partial_ratio("", "x") == 0 and fuzzy.common_length("abcbdab", "bdcaba") == 4
     df = spark.createDataFrame([("a b", "b a"), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(fuzzy.sort_ratio("a", "b")).collect()] == [100.0, None]
+
+
+def test_partial_ratio_with_cutoff_equals_all_windows():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(150):
+        long_ = "".join(rng.choice("abcde ") for _ in range(120))
+        k = rng.randrange(0, 80)
+        short = list(long_[k : k + 40]) if rng.random() < 0.8 else [rng.choice("abcde ") for _ in range(40)]
+        for _ in range(rng.randrange(0, 6)):
+            short[rng.randrange(len(short))] = rng.choice(["", "x", "ab"])
+        short = "".join(short)
+        whole = fuzzy.partial_ratio(short, long_)
+        assert fuzzy.partial_ratio(short, long_, 90.0) == (whole if whole >= 90 else 0.0)
