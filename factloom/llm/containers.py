@@ -186,13 +186,12 @@ def fill(items: DataFrame, key: str, size: str, capacity: int, rows_a_group: int
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must lie between 1 and {MAX_CAPACITY}")
     kind = items.schema[key].dataType.simpleString()
-    items = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("n")).where("n > 0")
+    items = cut(items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("n")).where("n > 0"))  # measured once
     starts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))
     parts = items.select("key", "n", F.explode(starts).alias("k")).select("key", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).cast("long").alias("size"))
     total = items.count()
     salts = max(1, -(-total // rows_a_group))
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(salts)))
-    parts = cut(parts)
     counts = parts.groupBy("size", "salt").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     # at most `capacity` rows reach the driver
