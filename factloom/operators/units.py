@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.tables import cut
+
 # Scale words, prefixes, and roots as (dimension, unit, factor into the dimension's common unit).
 SCALES = {
     1e3: ["thousand", "thousands", "'000", "k", "K", "tsd"],
@@ -272,6 +274,7 @@ def quantities(facts: DataFrame, common_units: DataFrame) -> DataFrame:
         F.col("id").alias("fact_id"), text("predicate_norm").alias("predicate"), *(c.alias(k) for k, c in figure(F.col("value_raw")).items()), text("unit_raw").alias("u"), text("magnitude").alias("m"), text("currency").alias("c")
     )
     rows = rows.where("number is not null").withColumn("unit_key", F.concat_ws("\x01", "unit_text", "u", "m", "c")).drop("unit_text", "u", "m", "c")
+    rows = cut(rows)  # figures are read once, for the dictionary and for the rows
     known = rows.join(unit_dictionary(rows), ["unit_key", "predicate"])
     listed = common_units.select("dimension", "common_unit").where("dimension is not null and common_unit is not null").distinct()
     same = (known["dimension"] == listed["dimension"]) & ((known["unit"] == "") | (known["unit"] == listed["common_unit"]))
