@@ -2,25 +2,99 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from zlib import crc32
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy, text
 
 
-def fuzzy_block(left: DataFrame, right: DataFrame, block: float = 88.0, bucket_max: int = 400) -> DataFrame:
-    """(key, match, set_ratio, sort_ratio): pairs of distinct name keys (both: key) that share a word and reach ``block``.
+def _numbered(items: list[str]) -> list[str]:
+    """Each item with its number among its like."""
+    seen: Counter = Counter()
+    for k, x in enumerate(items):
+        seen[x] += 1
+        items[k] = f"{x}{seen[x]}"
+    return items
+
+
+def _signature(items: list[str]) -> int:
+    """64 bits; two collections differ in at least as many items as their signatures differ in bits."""
+    bits = 0
+    for x in items:
+        bits ^= 1 << (crc32(x.encode()) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _described(batches):
+    """The pairs of characters of padded words, whose order does not matter, and signatures of these and of the characters."""
+    for rows in batches:
+        out = []
+        for name, words in zip(rows["name"], rows["words"]):
+            whole = " ".join(words)
+            grams = _numbered([f" {w} "[k : k + 2] for w in words for k in range(len(w) + 1)])
+            out.append((name, len(whole), _signature(grams), _signature(_numbered(list(whole))), grams))
+        yield pd.DataFrame(out, columns=["name", "size", "of_grams", "of_chars", "g"])
+
+
+def _near(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(key, match) that may reach a ratio of ``least``, words put in any order; ``left``: key, words; ``right``: match, words. None that reaches it is missing.
+
+    Deleting x and inserting y characters takes at most 2 x + y pairs of characters away from a key of n characters, and
+    (2 - c) x + c y <= 2 (1 - c) n where the ratio is c or more. So the first common pair in the order from rare to
+    common is among the first that many, and one more, of both keys; words in many keys have their pairs last.
+    """
+    c = least / 100
+    share = max(4 * (1 - c) / (2 - c), 2 * (1 - c) / c)
+    a, b = (x.select(F.col(x.columns[0]).alias("name"), "words").mapInPandas(_described, "name string, size int, of_grams long, of_chars long, g array<string>") for x in (left, right))
+    order = a.select(F.explode("g").alias("gram")).union(b.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def prefix(df, name):
+        own = ["name", "size", "of_grams", "of_chars"]
+        x = df.select(*own, F.explode("g").alias("gram")).join(order, "gram").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+        first = F.slice("g", F.lit(1), F.floor(F.col("size") * share + 1e-6).cast("int") + 1)
+        return x.select(*own, F.explode(first["gram"]).alias("gram")).withColumnRenamed("name", name)
+
+    a, b = prefix(a, "key"), prefix(b, "match").withColumnsRenamed({"size": "b_size", "of_grams": "b_grams", "of_chars": "b_chars"})
+    edits = (1 - c) * (F.col("size") + F.col("b_size")) + 1e-6
+    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    met = a.join(b, "gram").where((F.abs(F.col("size") - F.col("b_size")) <= edits) & (differ("of_chars", "b_chars") <= edits) & (differ("of_grams", "b_grams") <= 3 * edits))
+    return met.select("key", "match").distinct()
+
+
+def _held(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(key, match) where the common words alone may make up ``least`` of ``key``: one of its rarest words, as many as may be missing, is in ``match``."""
+    c = least / 100
+    share = 2 * (1 - c) / (2 - c)
+    b = right.select("match", F.explode("words").alias("w"))
+    dfs = b.groupBy("w").agg(F.count("*").alias("df"))
+    a = left.select("key", F.length(F.array_join("words", " ")).alias("size"), "words", F.explode("words").alias("w")).join(dfs, "w", "left")
+    before = Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(0)), "w").rowsBetween(Window.unboundedPreceding, -1)
+    a = a.withColumn("before", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0))).where(F.col("before") <= share * F.col("size") + 1e-6)
+    met = a.join(b, "w").select("key", "match", "words", "size").join(right.withColumnRenamed("words", "others"), "match")
+    missing = F.aggregate(F.array_except("words", "others"), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    return met.where(missing <= share * F.col("size") + 1e-6).select("key", "match").distinct()
+
+
+def fuzzy_block(left: DataFrame, right: DataFrame, block: float = 88.0, merge: float = 0.0) -> DataFrame:
+    """(key, match, set_ratio, sort_ratio): all pairs of distinct name keys (both: key) that reach ``block``, and ``merge`` in ``sort_ratio``.
 
-    Words in more than ``bucket_max`` keys of the right side meet only keys that are equal or share a rarer word: such
-    words alone do not reach ``block`` without one, but for keys made of nothing else, which meet by equality.
+    Pairs meet through their rarest pairs of characters, or through the rarest words of a key that the other may hold
+    whole; both ways miss none, however many keys hold a word.
     """
-    a = left.select("key").where("key <> ''").distinct().withColumn("w", F.explode(F.array_distinct(F.split("key", " "))))
-    b = right.select(F.col("key").alias("match")).where("match <> ''").distinct().withColumn("w", F.explode(F.array_distinct(F.split("match", " "))))
-    rare = b.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= bucket_max).select("w")
-    met = a.join(rare, "w").join(b, "w").select("key", "match")
-    equal = a.select("key").join(b.select("match"), F.col("key") == F.col("match"))
-    met = met.union(equal).distinct()
-    return met.withColumns({"set_ratio": fuzzy.set_ratio("key", "match"), "sort_ratio": fuzzy.sort_ratio("key", "match")}).where(F.col("set_ratio") >= block)
+    words = F.split("key", " ")
+    a, b = (x.select("key").where("key <> ''").distinct().withColumn("words", words) for x in (left, right))
+    b = b.withColumnRenamed("key", "match")
+    if merge >= block:
+        met = _near(a, b, merge)
+    else:
+        a, b = (x.withColumn("words", F.array_distinct("words")) for x in (a, b))
+        turned = _held(b.withColumnRenamed("match", "key"), a.withColumnRenamed("key", "match"), block).select(F.col("match").alias("key"), F.col("key").alias("match"))
+        met = _near(a, b, block).union(_held(a, b, block)).union(turned).distinct()
+    return met.withColumns({"set_ratio": fuzzy.set_ratio("key", "match"), "sort_ratio": fuzzy.sort_ratio("key", "match")}).where((F.col("set_ratio") >= block) & (F.col("sort_ratio") >= merge))
 
 
 def dominant(rows: DataFrame, owner: str, entity: str) -> DataFrame:
@@ -42,7 +116,7 @@ def resolve(facts: DataFrame, entities: DataFrame, merge: float = 94.0, block: f
     asked = named.where("not general and key <> ''").select("key").distinct()
     open_ = asked.join(known, "key", "left_anti")
     best = Window.partitionBy("key").orderBy(F.desc("sort_ratio"), F.desc("set_ratio"), "entity_id")
-    close = fuzzy_block(open_, known, block).where(F.col("sort_ratio") >= merge).join(known.withColumnRenamed("key", "match"), "match").withColumn("r", F.row_number().over(best)).where("r = 1").select("key", "entity_id")
+    close = fuzzy_block(open_, known, block, merge).join(known.withColumnRenamed("key", "match"), "match").withColumn("r", F.row_number().over(best)).where("r = 1").select("key", "entity_id")
     made = named.where("not general").join(open_, "key").join(close, "key", "left_anti").groupBy("key").agg((-F.min("fact_id")).alias("entity_id"))
     table = known.withColumn("method", F.lit("deterministic")).unionByName(close.withColumn("method", F.lit("similarity"))).unionByName(made.withColumn("method", F.lit("new_entity")))
     direct = named.where("not general").join(table, "key")

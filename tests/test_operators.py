@@ -154,3 +154,19 @@ def test_incremental_batches(spark, tmp_path):
     query = incremental.run(spark, source, "id long, predicate string", target, str(tmp_path / "ck"), lambda b, _: b.groupBy("predicate").count())
     query.awaitTermination()
     assert spark.read.parquet(target).agg(F.sum("count")).collect()[0][0] == 6
+
+
+def test_fuzzy_block_equals_brute_force_with_words_in_many_keys(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeiklmnorstu") for _ in range(rng.randrange(1, 10)))
+    names = [f"{g} {word()}" for g in ['alexander'] * 420 + ['li', 'konstantin'] * 30] + [f"{word()} {word()} {rng.choice(['textiles', 'agro products'])}" for _ in range(450)]
+    names += ["alexander tresthax", "alexander tresthxa", "zbc qdf textiles", "zbx qdx textiles", "textiles", "konstantinopel li", "konstantinopel wu", "li li wampandrurt", "aaaaaaa", "aaaaaaaa", "wampandrurt li"]
+    typed = [k[:p] + rng.choice("xz ") + k[p + 1 :] for k in names for p in [rng.randrange(1, len(k))]]
+    left, right = (sorted({" ".join(k.split()) for k in x}) for x in (typed[::2] + names[-11:], names))
+    frames = [spark.createDataFrame([(k,) for k in x], "key string") for x in (left, right)]
+    scored = {(a, b): (fuzzy.token_set_ratio(a, b), fuzzy.token_sort_ratio(a, b)) for a in left for b in right}
+    got = [(r.key, r.match) for r in resolve.fuzzy_block(*frames).collect()]
+    want = {k for k, (x, _) in scored.items() if x >= 88}
+    assert len(got) == len(set(got)) and set(got) == want and ("alexander tresthax", "alexander tresthxa") in want
+    merged = {(r.key, r.match) for r in resolve.fuzzy_block(*frames, merge=94.0).collect()}
+    assert merged == {k for k, (x, y) in scored.items() if x >= 88 and y >= 94}
