@@ -83,6 +83,20 @@ def head_form(line: str) -> str:
     return re.sub(r"[hb8]", "b", re.sub(r"\W+", " ", out)).strip()
 
 
+# legal forms whose stop ends no sentence, as head_form gives them
+LEGAL_END = re.compile(rf"(^| )({'|'.join(map(head_form, ('ltd', 'corp', 'inc', 'co', 'pvt', 'llc', 'llp', 'plc', 'bros')))})$")
+
+
+def runs_on(side: str, line: str, beside: str) -> bool:
+    """Whether an outer line looks like a row of the table or a part of the sentence that the line beside it belongs to."""
+    if "|" in line and "|" in beside:
+        return True
+    low, open_, stop = line[0].islower(), line.endswith((",", ";")), line.endswith(".") and not LEGAL_END.search(head_form(line))
+    if side == "top":
+        return low and stop or (low or open_) and beside[0].islower()
+    return not beside.endswith((".", "!", "?", ":")) and (low or open_ or stop)
+
+
 def read_page(text: str) -> dict:
     """The outer lines, divided words and words of a page."""
     lines = [x.strip() for x in text.split("\n")]
@@ -94,12 +108,11 @@ def read_page(text: str) -> dict:
         if order and (n := page_number(lines[order[0]])):
             out["numbers"] += [(side, *x) for x in n]
             k = 1
-        if len(order) > k + 1:
-            line = lines[order[k]]
-            # running text ends in a stop or goes on in the line beside it
-            if len(line) >= 4 and not line.endswith((".", ",", ";")) and line[0].isalnum() and not line[0].islower() and "|" not in line:
-                outer.append((side, line))
-    out["heads"] = [(side, head_form(line)) for side, line in outer]
+        if len(order) > k:
+            beside = lines[order[k + 1]] if len(order) > k + 1 else None
+            outer.append((side, lines[order[k]], beside is None, beside is not None and runs_on(side, lines[order[k]], beside)))
+    # any outer line may be a head: what the file's pages repeat decides
+    out["heads"] = [(side, head_form(line), alone, text) for side, line, alone, text in outer]
     for k in range(len(lines) - 1):
         here, after = lines[k], lines[k + 1]
         if len(here) > 1 and here[-1] in MARKS and after:
@@ -112,7 +125,7 @@ def read_page(text: str) -> dict:
     return out
 
 
-PAGE = "page_id long, document_id long, page_index int, heads array<struct<side:string,form:string>>, numbers array<struct<side:string,n:int,styled:boolean>>, breaks array<struct<a:string,b:string,mark:string>>, words array<string>, compounds array<string>"
+PAGE = "page_id long, document_id long, page_index int, heads array<struct<side:string,form:string,alone:boolean,text:boolean>>, numbers array<struct<side:string,n:int,styled:boolean>>, breaks array<struct<a:string,b:string,mark:string>>, words array<string>, compounds array<string>"
 
 
 def _read(batches):
@@ -301,8 +314,9 @@ def read_scans(pages: DataFrame, p: Noise = Noise()) -> Reading:
     broken = pairs.join(joins, ["a", "b", "mark"])
 
     heads = read.where("document_id is not null and page_index is not null").select("page_id", "document_id", "page_index", F.inline("heads"))
-    spans = heads.groupBy("document_id", "side", "form").agg(F.count_distinct("page_id").alias("n"), F.min("page_index").alias("low"), F.max("page_index").alias("high"))
-    spans = spans.where((F.col("n") >= p.head_pages) & (F.col("n") >= p.head_density * (F.col("high") - F.col("low") + 1)) & (F.length("form") > 0))
+    spans = heads.groupBy("document_id", "side", "form").agg(F.count_distinct("page_id").alias("n"), F.min("page_index").alias("low"), F.max("page_index").alias("high"), F.min("alone").alias("alone"), F.avg(F.col("text").cast("int")).alias("text"))
+    # a line that is all its pages hold is no furniture of them; nor is what mostly runs on from the line beside it
+    spans = spans.where((F.col("n") >= p.head_pages) & (F.col("n") >= p.head_density * (F.col("high") - F.col("low") + 1)) & (F.length("form") > 0) & ~F.col("alone") & (F.col("text") < 0.5))
     headed = heads.join(spans.select("document_id", "side", "form"), ["document_id", "side", "form"])
 
     numbers = read.select("page_id", "document_id", "page_index", F.inline("numbers")).withColumn("offset", F.col("n") - F.col("page_index"))

@@ -70,6 +70,24 @@ def test_empty(spark):
     assert read_scans(spark.createDataFrame([], SCHEMA)).found.collect() == []
 
 
+def test_heads_of_any_form(spark):
+    heads = {1: "ACME TEXTILES CORP.", 2: "Brasvon Pharmaceuticals Ltd.", 3: "Interim report", 4: "Annual report | 2024", 5: "(draft)", 6: "AGM"}
+    rng, rows = random.Random(8), []
+    for doc, head in heads.items():
+        for page in range(5):
+            body = [" ".join(rng.choices(WORDS, k=6)) + f" {doc}{page}{k}." for k in range(3)]
+            shown = head.replace("In", "ln") if page == 1 else head
+            lines = [shown, *body] if doc % 2 else [*body, shown]
+            rows.append((doc * 100 + page, doc, page, "\n".join(lines if page < 4 else body), "x", "y"))
+    rows += [(900 + page, 9, page, "Nil", "x", "y") for page in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id for r in read_scans(df).found.where("noise_kind = 'running_head'").collect()}
+    want = {doc * 100 + page for doc in heads for page in range(4)}
+    assert got == want
+    texts = {r.page_id: r.text for r in mended_pages(df).collect()}
+    assert not any(head in texts[doc * 100] for doc, head in heads.items()) and texts[900] == "Nil"
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((800, 3))
