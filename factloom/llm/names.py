@@ -179,7 +179,7 @@ def link_names(facts: DataFrame, key: str, name: str, entities: DataFrame, entit
     """(key, entity_id): every row of ``facts`` with every row of ``entities`` for the party that its name means.
 
     Null, blank and general names ("the Company") have no rows. A name cut down to initials or to the first rare word,
-    beside its trade, is linked where a single party fits.
+    beside its trade, is linked where a single party fits; one that is written as a registered name, always to that one.
     Repeated rows come out once; only the four named columns are read. Both tables may be empty.
     """
     raw = facts.select(F.col(name).alias("raw")).where("raw is not null").distinct()
@@ -211,7 +211,11 @@ def link_names(facts: DataFrame, key: str, name: str, entities: DataFrame, entit
 
     links = cut(_meet(asked, right, total, common, rule).where(F.col("similarity") >= rule.accept).join(group_of, "party"))
     clear = _clear(links, rule)
-    lost = cut(asked.join(links.select("core").distinct(), "core", "left_anti"))
+    lost = asked.join(links.select("core").distinct(), "core", "left_anti")
+    # names without a rare word never meet above: those written as a registered one are that one, whatever else would fit
+    equal = lost.select("core").join(group_of.withColumnRenamed("party", "core"), "core")
+    clear = clear.union(equal.select("core", "group_id"))
+    lost = cut(lost.join(group_of.select(F.col("party").alias("core")), "core", "left_anti"))
 
     # names with a blank inside a word: each reading is a name of its own
     readings = typed.join(lost.select("core"), "core").select(F.col("core").alias("as_typed"), F.explode(_rejoined("raw")).alias("words")).withColumn("core", F.concat_ws(" ", "words"))

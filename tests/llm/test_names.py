@@ -35,6 +35,15 @@ def test_links(spark):
     assert wrong == {} and len(rows) == sum(map(len, FACTS.values()))
 
 
+def test_equal_names_without_a_rare_word(spark):
+    # several parties fit "S.G. Pharmaceuticals", one of which is registered like that
+    labels = ["Stolwen Gramrawolm Pharmaceuticals Ltd", "Sarquist Grenbrapisk Pharmaceuticals", "SG Pharmaceuticals Inc.", *filler()]
+    entities = spark.createDataFrame(list(enumerate(labels)), "id long, canonical_label string")
+    facts = spark.createDataFrame([(1, "SG Pharmaceuticals"), (2, "SG Laboratories"), (3, "S.G. Pharmaceuticals")], "fact_id long, subject_raw string")
+    got = {(r.fact_id, r.entity_id) for r in link_names(facts, "fact_id", "subject_raw", entities, "id", "canonical_label").collect()}
+    assert (1, 2) in got and {k for k, _ in got} == {1} and len(got) == 1
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, name string")
     some = spark.createDataFrame([(1, "Tarstilkol Gramrawolm")], "id long, name string")
