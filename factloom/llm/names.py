@@ -213,9 +213,9 @@ def link_names(facts: DataFrame, key: str, name: str, entities: DataFrame, entit
     clear = _clear(links, rule)
     lost = asked.join(links.select("core").distinct(), "core", "left_anti")
     # names without a rare word never meet above: those written as a registered one are that one, whatever else would fit
-    equal = lost.select("core").join(group_of.withColumnRenamed("party", "core"), "core")
-    clear = clear.union(equal.select("core", "group_id"))
-    lost = cut(lost.join(group_of.select(F.col("party").alias("core")), "core", "left_anti"))
+    lost = cut(lost.join(group_of.withColumnRenamed("party", "core"), "core", "left"))
+    clear = clear.union(lost.where("group_id is not null").select("core", "group_id"))
+    lost = lost.where("group_id is null").drop("group_id")
 
     # names with a blank inside a word: each reading is a name of its own
     readings = typed.join(lost.select("core"), "core").select(F.col("core").alias("as_typed"), F.explode(_rejoined("raw")).alias("words")).withColumn("core", F.concat_ws(" ", "words"))
