@@ -1,8 +1,9 @@
+import math
 import random
 
 import pytest
 
-from factloom.llm.components import connected_groups
+from factloom.llm.components import connected_groups, contract
 
 SCHEMA = "a long, b long, id string, group_id string"
 
@@ -36,5 +37,14 @@ def test_groups_equal_brute_force_with_nulls_loops_repeats_and_clashing_names(sp
     assert set(got) == brute(edges)
 
 
+def test_levels_on_a_rising_chain(spark):
+    block, links = 500, 50_000
+    chain = spark.range(links, numPartitions=4).selectExpr("id a", "id + 1 b").repartition(7)
+    _, levels = contract(chain, block, 8)
+    assert len(levels) <= 2 * math.log2(links / block)
+    groups = connected_groups(chain, "a", "b", block=block)
+    assert groups.count() == links + 1 and groups.where("group_id <> 0").count() == 0
+
+
 def test_empty(spark):
     assert connected_groups(spark.createDataFrame([], SCHEMA), "a", "b").collect() == []
