@@ -64,8 +64,8 @@ def p8_fill(spark, folder):
     return reports[0].union(reports[1]).union(reports[2])
 
 
-def _judged(spark, folder):
-    return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source")
+def _judged(spark, folder, column="text"):
+    return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", column, "source", prose=column == "text")
 
 
 def p9_found(spark, folder):
@@ -73,11 +73,12 @@ def p9_found(spark, folder):
 
 
 def p9_sources(spark, folder):
-    return truncation.cut_share(_judged(spark, folder))
+    shares = [truncation.cut_share(_judged(spark, folder, c)).select(F.lit(c).alias("column"), "*") for c in ("text", "title")]
+    return shares[0].union(shares[1])
 
 
 def p9_limits(spark, folder):
-    return truncation.length_limits(table(spark, folder, "documents"), "text", "source")
+    return truncation.length_limits(table(spark, folder, "documents"), ["text", "title"], "source")
 
 
 def queries() -> dict:

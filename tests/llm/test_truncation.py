@@ -1,4 +1,4 @@
-from factloom.llm.truncation import cut_share, cut_texts, length_limits
+from factloom.llm.truncation import Limits, cut_share, cut_texts, length_limits
 
 SCHEMA = "doc_id long, text string, source string, form string, line string"
 
@@ -28,6 +28,9 @@ def corpus():
     for blank in (None, "", "  \n\t "):
         add(blank, "feed", False)
     add("long words " * 200_000 + "end.", "feed", False)
+    # no running text where it stops: only its length says that it was cut
+    add((body * 4)[: 200 - 20] + "\n\nSignedbytheChairman", "sms", True)
+    add((body * 4)[: 190 - 20] + "\n\nSignedbytheChairman", "sms", False)
     return rows, want
 
 
@@ -36,13 +39,23 @@ def test_cut_texts_and_limits(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = {r.doc_id: r.is_cut for r in cut_texts(df, "doc_id", "text", "source").collect()}
     assert {k for k in want if got[k] != want[k]} == set()
-    limits = {(r.source, r.unit): r.limit for r in length_limits(df, "text", "source").where("source in ('sms', 'api')").collect()}
+    limits = {(r.source, r.unit): r.limit for r in length_limits(df, ["text", "form"], "source").where("source in ('sms', 'api')").collect()}
     assert limits[("sms", "chars")] == 200 and limits[("api", "bytes")] == 230
     share = {r.source: r for r in cut_share(cut_texts(df, "doc_id", "text", "source")).collect()}
-    assert share["sms"].n_cut == 31 and share["sms"].n_docs == 31 and share["(none)"].n_cut == 1
+    assert share["sms"].n_cut == share["sms"].n_limit == 32 and share["sms"].n_docs == 33 and share["(none)"].n_cut == 1
+
+
+def test_the_histograms_decide_what_a_limit_cut(spark):
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = lambda p: {r.doc_id for r in cut_texts(df, "doc_id", "text", "source", p).where("is_cut").collect()}
+    without = found(Limits(least=10_000))  # no length is a limit
+    lost = found(Limits()) - without
+    assert lost and {rows[k][2] for k in lost} == {"sms"} and without - found(Limits()) == set()
+    assert cut_texts(df, "doc_id", "text", "source").where("limit_cut and transfer_cut").count() == 0
 
 
 def test_copies_of_one_text_are_no_limit(spark):
     df = spark.createDataFrame([(n, "The same notice under new ids, whole as it is.", "feed", "", "") for n in range(50)], SCHEMA)
-    assert length_limits(df, "text", "source").collect() == []
+    assert length_limits(df, ["text"], "source").collect() == []
     assert cut_texts(df.limit(0), "doc_id", "text", "source").collect() == []
