@@ -1,9 +1,9 @@
 """Filling containers of fixed capacity (problem 8).
 
 The number of items of each size is all that the packing depends on, and there are no more sizes than the capacity, so
-the driver packs a histogram, whatever the number of items. Martello and Toth's reduction comes first: sets of up to
-three items that dominate every other use of the largest item are fixed, as often as the sizes allow, and leave the
-instance; best fit takes the rest. The result is a table of container patterns with their multiplicities; items are
+the driver packs a histogram, whatever the number of items. Martello and Toth's reduction comes first: for each size,
+from large to small, a set of up to three items that dominates every other use of such an item is fixed as often as the
+sizes allow and leaves the instance, until no further set is proven; best fit takes the rest. The result is a table of container patterns with their multiplicities; items are
 numbered within their size, by salted groups, and find their place in the pattern table by binary search.
 """
 
@@ -41,47 +41,64 @@ class Histogram:
         return self.sizes[k - 1] if k else 0
 
 
-def dominating_set(h: Histogram, capacity: int) -> tuple[int, ...] | None:
-    """Items that some best packing puts together with the largest one, or None where none of up to three is proven.
+def _smallest(h: Histogram, n: int) -> list[int]:
+    """The ``n`` smallest items, fewer where there are not as many."""
+    out: list[int] = []
+    for s in h.sizes:
+        out += [s] * min(h.count[s], n - len(out))
+        if len(out) == n:
+            break
+    return out
 
-    Alone: not even the smallest fits beside it. A pair: the two fill the container, or no two items fit beside the
-    largest and this is the largest that does, or it is as large as any two that fit. A triple: the three fill it with
-    the second as large as any single item that fits beside the largest.
+
+def _best_pair(h: Histogram, room: int) -> tuple[int, int] | None:
+    """Two items, the larger first, with the largest sum within ``room``; of equal sums the one with the largest item."""
+    best, usable = None, [s for s in h.sizes[: bisect_left(h.sizes, room)] if h.count[s] > 0]
+    i, j = 0, len(usable) - 1
+    while i <= j:
+        small, large = usable[i], usable[j]
+        if small + large > room or (i == j and h.count[small] < 2):
+            j -= 1
+            continue
+        if best is None or small + large > sum(best):
+            best = (large, small)
+        i += 1
+    return best
+
+
+def dominating_set(h: Histogram, x: int, capacity: int) -> tuple[int, ...] | None:
+    """A set of at most three items that some best packing puts together with one of size ``x``, None where none is proven.
+
+    A set is proven if it dominates every other one that holds ``x`` and fits: the others' items can be dealt out to its
+    own so that none gets more than it weighs. With ``k`` the number of smallest items that fit beside ``x``: alone if
+    k = 0; with the largest that fits if that fills the container, if k = 1, or if k = 2 and it weighs no less than any two
+    that fit; for k = 2 with the heaviest two that fit, if the larger of them is the largest that fits and no two items
+    between them fit instead.
     """
-    x = h.sizes[-1]
     room = capacity - x
     h.count[x] -= 1  # the item itself is not its own partner
     try:
-        low = next((s for s in h.sizes if h.count[s] > 0), 0)
-        if not low or low > room:
-            return (x,)
         y = h.largest_within(room)
-        if y == x and h.count[x] == 0:
-            y = h.largest_within(x - 1)
-        if y == room:
-            return (x, y)
-        second = low if h.count[low] > 1 else next((s for s in h.sizes if s > low and h.count[s] > 0), 0)
-        if not second or low + second > room:
+        while y and not h.count[y]:
+            y = h.largest_within(y - 1)
+        if not y:
+            return (x,)
+        few = _smallest(h, 3)
+        k = 1 if len(few) < 2 or few[0] + few[1] > room else 2 if len(few) < 3 or sum(few) > room else 3
+        if y == room or k == 1:
             return (x, y)
-        third = low if h.count[low] > 2 else second if h.count[second] > (1 if low != second else 2) else next((s for s in h.sizes if s > second and h.count[s] > 0), 0)
-        if third and low + second + third <= room:
-            return None  # four items may share the container: beyond what is proven here
-        best, pair = 0, None  # the largest sum of two that fits
-        usable = [s for s in h.sizes[: bisect_left(h.sizes, room)] if h.count[s] > 0]
-        i, j = 0, len(usable) - 1
-        while i <= j:
-            small, large = usable[i], usable[j]
-            if small + large > room or (i == j and h.count[small] < 2):
-                j -= 1
-                continue
-            if small + large > best:
-                best, pair = small + large, (large, small)
-            i += 1
-        if y >= best:
+        if k > 2:
+            return None
+        large, small = _best_pair(h, room)
+        if y >= large + small:
             return (x, y)
-        if best == room and pair and pair[0] >= y:
-            return (x, *pair)
-        return None
+        if large < y:
+            return None
+        # the two smallest items between the two: what else could take the place of both
+        between = [s for s in h.sizes if small < s < large and h.count[s] > 0]
+        rivals = [s for s in between[:2] for _ in range(min(2, h.count[s]))][:2]
+        rivals += [large] * (2 - len(rivals)) if len(rivals) < 2 and h.count[large] > 1 else []
+        return (x, large, small) if len(rivals) < 2 or sum(rivals) > room else None
     finally:
         h.count[x] += 1
 
@@ -90,18 +107,20 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
     """(sizes in one container, number of such containers, how): a packing of all items; no size may exceed the capacity."""
     h = Histogram(counts)
     out: list[tuple[tuple[int, ...], int, str]] = []
-    while h.sizes:
-        found = dominating_set(h, capacity)
-        if found is None:
-            break
-        need = defaultdict(int)
-        for s in found:
-            need[s] += 1
-        # what is taken away only leaves fewer alternatives: the set stays proven while its items last
-        times = min(h.count[s] // n for s, n in need.items())
-        for s, n in need.items():
-            h.take(s, n * times)
-        out.append((found, times, "reduced"))
+    shrunk = True
+    while shrunk:  # what is taken away may prove items that were passed over before
+        shrunk = False
+        for x in list(reversed(h.sizes)):
+            while h.count.get(x) and (found := dominating_set(h, x, capacity)):
+                need = defaultdict(int)
+                for s in found:
+                    need[s] += 1
+                # what is taken away only leaves fewer alternatives: the set stays proven while its items last
+                times = min(h.count[s] // n for s, n in need.items())
+                for s, n in need.items():
+                    h.take(s, n * times)
+                out.append((found, times, "reduced"))
+                shrunk = True
     # best fit, sizes from large to small; containers alike are kept together
     open_: dict[int, list[list]] = {}  # room -> [[sizes, multiplicity]]
     rooms: list[int] = []

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import components, containers, lookalikes, names, pieces, scans, tokens, truncation
-from factloom.tables import table
+from factloom.tables import cut, table
 
 
 def p1_found(spark, folder):
@@ -49,19 +52,27 @@ def p7_ids(spark, folder):
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
-def _filled(spark, folder, class_id):
-    row = table(spark, folder, "capacity_classes").where(F.col("class_id") == class_id).first()
-    sizes = tokens.encode(table(spark, folder, "documents"), "doc_id", "text", path=f"/opt/tokenizers/{row.tokenizer}.json", sizes_only=True)
-    return containers.fill(sizes, "doc_id", "n_tokens", row.capacity), row.capacity
+def _sizes(spark, folder, tokenizer):
+    return tokens.encode(table(spark, folder, "documents"), "doc_id", "text", path=f"/opt/tokenizers/{tokenizer}.json", sizes_only=True)
+
+
+def _classes(spark, folder):
+    """The capacity classes, three rows at every scale."""
+    return {r.class_id: r for r in table(spark, folder, "capacity_classes").orderBy("class_id").collect()}
 
 
 def p8_containers(spark, folder):
-    return _filled(spark, folder, 2)[0]
+    row = _classes(spark, folder)[2]
+    return containers.fill(_sizes(spark, folder, row.tokenizer), "doc_id", "n_tokens", row.capacity)
 
 
 def p8_fill(spark, folder):
-    reports = [containers.fill_report(*_filled(spark, folder, k)) for k in (1, 2, 3)]
-    return reports[0].union(reports[1]).union(reports[2])
+    measured, reports = {}, []
+    for row in _classes(spark, folder).values():
+        if row.tokenizer not in measured:
+            measured[row.tokenizer] = cut(_sizes(spark, folder, row.tokenizer))  # once a tokenizer, not once a class
+        reports.append(containers.fill_report(containers.fill(measured[row.tokenizer], "doc_id", "n_tokens", row.capacity), row.capacity))
+    return reduce(DataFrame.union, reports)
 
 
 def _judged(spark, folder, column="text"):
