@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from factloom.llm.pieces import Rule, cut_pieces, faulty_chunks
+from factloom.llm import pieces
+from factloom.llm.pieces import Rule, cut_files, cut_pieces, faulty_chunks
 
 
 def brute(text, rule):
@@ -63,3 +64,16 @@ def test_faulty_chunks(spark, size):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, document_id long, page_index int, seq int, char_offset int, header_prefix_len int, text string")
     assert cut_pieces(none, "id", "text").collect() == [] and faulty_chunks(none, none).collect() == []
+
+
+def test_files_of_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pieces, "FAN", 3)  # three levels of a small tree
+    rule = Rule(limit=40, overlap=10, reach=8, range_bytes=50)
+    made = {"a.txt": "".join(random.Random(1).choice("ab é₹ \n") for _ in range(4000)), "b.txt": "short", "c.txt": "", "d.txt": "é" * 900}
+    for name, text in made.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    got = {}
+    for r in cut_files(spark, str(tmp_path), rule).collect():
+        got.setdefault(r.path[-5:], []).append((r.piece_no, r.char_offset, r.char_end, r.text))
+    for name, text in made.items():
+        assert sorted(got.get(name, [])) == [(n, *x) for n, x in enumerate(brute(text, rule))], name
