@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.tables import cut
+
 # Letters of other scripts with the Latin letters that they are drawn like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһӏ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTYXaesijopcyxdqwhl"
@@ -96,7 +98,7 @@ def quotes_on_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """
     q = quotes.select(F.col("id").alias("quote_id"), "page_id", F.col("quote").alias("quote")).where("page_id is not null")
     p = pages.select(F.col("id").alias("page_id"), flat("text").alias("page")).where("page_id is not null")  # flat once a page, not once a quote
-    words = p.select("page_id", F.explode(unusual_words("page")).alias("word")).union(q.select("page_id", F.explode(unusual_words("quote")).alias("word"))).distinct()
+    words = cut(p.select("page_id", F.explode(unusual_words("page")).alias("word")).union(q.select("page_id", F.explode(unusual_words("quote")).alias("word"))).distinct())  # read once, not for each use
     canon = canonical_words(words.select("word"))
     maps = words.join(canon, "word").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "canon"))).alias("map"))
     both = q.join(p.join(maps, "page_id", "left"), "page_id")
@@ -109,6 +111,6 @@ def quotes_on_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def one_form(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text): every text in its one form; null stays null. ``key`` must be unique; line feeds become blanks."""
-    words = texts.select(key, F.explode(unusual_words(text)).alias("word"))
+    words = cut(texts.select(key, F.explode(unusual_words(text)).alias("word")).distinct())
     maps = words.join(canonical_words(words.select("word")), "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "canon"))).alias("_map"))
     return texts.select(key, F.col(text).alias("_text")).join(maps, key, "left").select(key, with_words(flat("_text"), F.col("_map")).alias("text"))

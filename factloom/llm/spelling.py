@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Mapping
 
 # Forms of address, legal forms, joining words, general references, and short forms of given names.
 HONORIFICS = {"mr", "mrs", "ms", "mx", "miss", "dr", "prof", "professor", "shri", "sri", "smt", "kumari", "sir", "messrs", "m/s", "er", "ca", "adv"}
@@ -22,11 +23,31 @@ NICKNAMES = {
     "rebecca": "becky becca", "richard": "rick dick rich richie", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "samantha": "sam sammy", "samuel": "sam sammy", "sarah": "sally", "srinivas": "srini sri vasu", "stephen": "steve steph stevie", "subramaniam": "subbu mani subra", "subramanian": "subbu mani",
     "susan": "sue susie", "susannah": "sue susie anna sukie", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "venkatesh": "venky venkat", "victoria": "vicky tori vic vicki", "walter": "walt", "william": "will bill billy liam willy",
 }
-FULL_OF: dict[str, set[str]] = {}
-for _full, _names in NICKNAMES.items():
-    for _n in _names.split():
-        FULL_OF.setdefault(_n, set()).add(_full)
 
+
+class Nicknames:
+    """Short forms of given names: a table of full names with their short forms, separated by blanks."""
+
+    def __init__(self, table: Mapping[str, str]):
+        self.short = {full: set(forms.split()) for full, forms in table.items()}
+        self.full: dict[str, set[str]] = {}
+        for full, forms in self.short.items():
+            for form in forms:
+                self.full.setdefault(form, set()).add(full)
+
+    def forms(self, word: str) -> list[str]:
+        """Given names that a word may stand for, and short forms of it."""
+        return sorted(self.full.get(word, set()) | self.short.get(word, set()))
+
+    def likeness(self, a: str, b: str) -> float | None:
+        """How alike two given names are; None where the table does not say."""
+        if a in self.short and b in self.short:
+            return 0.0
+        full_a, full_b = self.full.get(a, set()), self.full.get(b, set())
+        return 0.95 if b in full_a or a in full_b else 0.9 if full_a & full_b else None
+
+
+KNOWN = Nicknames(NICKNAMES)
 CUT = re.compile(r"[^\w&/]+|_", re.UNICODE)
 
 
@@ -60,7 +81,7 @@ def rejoined(name: str | None) -> list[list[str]]:
     out = []
     for k in range(len(words) - 1):
         a, b = words[k], words[k + 1]
-        if min(len(a), len(b)) in (3, 4, 5, 6) and not {a, b} & LEGAL:
+        if min(len(a), len(b)) >= 3 and not {a, b} & LEGAL:
             out.append(telling([*words[:k], a + b, *words[k + 2 :]]))
     return [x for x in out if x]
 
@@ -96,18 +117,14 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in at for c in short)
 
 
-def likeness(a: str, b: str, common_a: bool, common_b: bool) -> float:
+def likeness(a: str, b: str, common_a: bool, common_b: bool, names: Nicknames = KNOWN) -> float:
     """How alike two words are, 0 to 1; short forms count only for common words."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
         return 0.6 if a[0] == b[0] else 0.0
-    if a in NICKNAMES and b in NICKNAMES:
-        return 0.0
-    if b in FULL_OF.get(a, ()) or a in FULL_OF.get(b, ()):
-        return 0.95
-    if FULL_OF.get(a, set()) & FULL_OF.get(b, set()):
-        return 0.9
+    if (said := names.likeness(a, b)) is not None:
+        return said
     if (common_b and abbreviates(a, b)) or (common_a and abbreviates(b, a)):
         return 0.9
     most = allowed(min(len(a), len(b)))
@@ -116,21 +133,51 @@ def likeness(a: str, b: str, common_a: bool, common_b: bool) -> float:
     return 0.0
 
 
-def forms_of(word: str) -> list[str]:
-    """Given names that a word may stand for, and short forms of it."""
-    return sorted(FULL_OF.get(word, set()) | set(NICKNAMES.get(word, "").split()))
-
-
-def fused(words: list[str]) -> list[str]:
-    """Neighbouring words written as one, in either order."""
-    return [x for a, b in zip(words, words[1:]) if len(a) > 3 and len(b) > 3 for x in (a + b, b + a)]
+def fused(words: list[str], rare: list[bool]) -> list[str]:
+    """Neighbouring words, of which one is rare, written as one in either order."""
+    return [x for k, (a, b) in enumerate(zip(words, words[1:])) if len(a) > 3 and len(b) > 3 and (rare[k] or rare[k + 1]) for x in (a + b, b + a)]
 
 
 def weight(df: int, total: int) -> float:
     return math.log(1 + total / max(df, 1))
 
 
-def similarity(a: list[str], df_a: list[int], b: list[str], df_b: list[int], total: int, common: int) -> tuple[float, bool]:
+def letters_of(words: list[str]) -> str:
+    """The initials that a name gives instead of words: its single letters, else a first word of two or three letters."""
+    letters = "".join(w for w in words if len(w) == 1)
+    return letters if len(letters) >= 2 else words[0] if not letters and words and 2 <= len(words[0]) <= 3 else ""
+
+
+def short_form(a: list[str], df_a: list[int], b: list[str], df_b: list[int], total: int, common: int) -> float:
+    """Soft weighted similarity of a name that is cut down to initials, or to the first rare word, and its trade; 0 if it is not.
+
+    Initials count as far as an initial is like a word, rare words that were left out count by a third; all of the
+    name's trade words need a match among the other's.
+    """
+    rare_b = [(w, weight(n, total)) for w, n in zip(b, df_b) if n < common]
+    trade_b = [w for w, n in zip(b, df_b) if n >= common]
+    letters = letters_of(a) if all(len(w) <= 3 or n >= common for w, n in zip(a, df_a)) else ""
+    rare_a = [w for w, n in zip(a, df_a) if n < common]
+    if len(letters) >= 2 and letters == "".join(w[0] for w, _ in rare_b):
+        got, whole = 0.6 * sum(w for _, w in rare_b), sum(w for _, w in rare_b)
+        trade = [w for w in a if len(w) > 1 and w != letters]
+    elif len(rare_a) == 1 and rare_a[0] == a[0] and len(a[0]) >= 4 and len(rare_b) > 1 and rare_b[0][0] == b[0]:
+        d, most = edits(a[0], b[0], 2), 2 if len(a[0]) >= 8 else 1
+        if d > most:
+            return 0.0
+        got = (1 - d / max(len(a[0]), len(b[0]), 6)) * rare_b[0][1]
+        whole = rare_b[0][1] + sum(w for _, w in rare_b[1:]) / 3
+        trade = [w for w, n in zip(a, df_a) if n >= common]
+    else:
+        return 0.0
+    like = [max((likeness(x, y, True, True) for y in trade_b), default=0.0) for x in trade]
+    if not like or min(like) < 0.85:
+        return 0.0
+    w = weight(common, total)
+    return (got + w * sum(like)) / (whole + w * len(like))
+
+
+def similarity(a: list[str], df_a: list[int], b: list[str], df_b: list[int], total: int, common: int, names: Nicknames = KNOWN) -> tuple[float, bool]:
     """(similarity, uses_initial) of two names by soft weighted word similarity.
 
     Words are matched one to one, best first, and count by their rarity over the registered names. A rare word that matches nothing
@@ -153,7 +200,7 @@ def similarity(a: list[str], df_a: list[int], b: list[str], df_b: list[int], tot
                     strong = True
                     whole += wy[j] + wy[j + 1]
                     break
-    pairs = sorted(((likeness(a[i], b[j], ca[i], cb[j]), (wa[i] + wb[j]) / 2, -i, -j) for i in free_a for j in free_b), reverse=True)
+    pairs = sorted(((likeness(a[i], b[j], ca[i], cb[j], names), (wa[i] + wb[j]) / 2, -i, -j) for i in free_a for j in free_b), reverse=True)
     for like, w, i, j in pairs:
         i, j = -i, -j
         if like <= 0 or i not in free_a or j not in free_b:

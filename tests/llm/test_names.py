@@ -44,6 +44,15 @@ def test_equal_names_without_a_rare_word(spark):
     assert (1, 2) in got and {k for k, _ in got} == {1} and len(got) == 1
 
 
+def test_names_of_short_words(spark):
+    labels = ["ABB Limited", "SAP", "ITC Ltd", "L&T Ltd", "Jio", "Global Industries", *filler(), *(f"Global {x} Industries" for x in ("Asia", "Nova", "Polo", "Tera", "Zeta"))]
+    entities = spark.createDataFrame(list(enumerate(labels)), "id long, canonical_label string")
+    typed = {"ABB Ltd": 0, "SAP": 1, "ITC Limited": 2, "Itc": 2, "JIO pvt. ltd.": 4, "Industries, Global": 5, "IBM": None, "SAB": None}
+    facts = spark.createDataFrame(list(enumerate(typed)), "fact_id long, subject_raw string")
+    got = {(r.fact_id, r.entity_id) for r in link_names(facts, "fact_id", "subject_raw", entities, "id", "canonical_label").collect()}
+    assert got == {(k, want) for k, want in enumerate(typed.values()) if want is not None}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, name string")
     some = spark.createDataFrame([(1, "Tarstilkol Gramrawolm")], "id long, name string")
