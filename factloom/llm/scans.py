@@ -2,8 +2,9 @@
 
 Words that are rare in the corpus meet the well-supported ones through an inverted join of character q-grams; a
 gradient-boosted ranker, trained on supported words damaged on purpose, tells misreadings from other rare words and
-chooses the replacement. A second one judges the line pairs at a mark of division. Heads and page numbers are read from
-the outer lines of all pages of a file. Files are taken as scanned by what their pages show, not by what is stored.
+chooses the replacement. Two more judge pairs of lines: the ones on either side of a mark of division, and the outer lines
+of a page with the ones in the same place on the neighbouring pages of its file, which are heads, page numbers or text.
+Files are taken as scanned by what their pages show, not by what is stored.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,14 +27,13 @@ from factloom.tables import cut
 CONFUSED = ["il1", "o0", "s5", "b8", "gq9", "hb", "ce", "tf", "z2"]
 MERGED = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h")]
 TO_DIGIT = str.maketrans("oilsbzgq", "01158299")
-TO_LETTER = str.maketrans("0158", "olsb")
 MARKS = "-‐­¬"
 ALIKE = {a + b for group in CONFUSED for a in group for b in group if a != b}
 
 
 @dataclass(frozen=True)
 class Noise:
-    """``supported``: pages that a word of the vocabulary is on at least, and ``ratio`` times as many as its misreading; ``sample``: words that the classifiers are trained on at most; ``scanned``: share of a file's pages with misreadings from which it is a scan; ``elsewhere``: share of a misreading's pages that may lie in other files; ``head_pages``, ``head_density``: pages that a head stands on, and their share of the pages between its first and last."""
+    """``supported``: pages that a word of the vocabulary is on at least, and ``ratio`` times as many as its misreading; ``sample``: words that the classifiers are trained on at most; ``scanned``: share of a file's pages with misreadings from which it is a scan; ``elsewhere``: share of a misreading's pages that may lie in other files; ``head_pages``: pages that a head stands on at least; ``accept``: probability from which a classifier's answer is yes."""
 
     supported: int = 6
     ratio: float = 4.0
@@ -40,7 +41,6 @@ class Noise:
     scanned: float = 0.34
     elsewhere: float = 0.2
     head_pages: int = 3
-    head_density: float = 0.3
     accept: float = 0.5
 
 
@@ -101,7 +101,7 @@ def read_page(text: str) -> dict:
     """The outer lines, divided words and words of a page."""
     lines = [x.strip() for x in text.split("\n")]
     full = [k for k, x in enumerate(lines) if re.search(r"\w", x)]
-    out = {"heads": [], "numbers": [], "breaks": [], "words": [], "compounds": []}
+    out = {"heads": [], "numbers": [], "breaks": [], "words": [], "figures": [], "compounds": [], "inner": []}
     outer = []
     for side, order in (("top", full), ("bottom", full[::-1])):
         k = 0
@@ -112,7 +112,7 @@ def read_page(text: str) -> dict:
             beside = lines[order[k + 1]] if len(order) > k + 1 else None
             outer.append((side, lines[order[k]], beside is None, beside is not None and runs_on(side, lines[order[k]], beside)))
     # any outer line may be a head: what the file's pages repeat decides
-    out["heads"] = [(side, head_form(line), alone, text) for side, line, alone, text in outer]
+    out["heads"] = [(side, head_form(line), alone, text, crc32(line.encode()), len(line)) for side, line, alone, text in outer]
     for k in range(len(lines) - 1):
         here, after = lines[k], lines[k + 1]
         if len(here) > 1 and here[-1] in MARKS and after:
@@ -120,28 +120,31 @@ def read_page(text: str) -> dict:
             if a and b and here[-2].isalpha() and b.group().isalpha():
                 out["breaks"].append((a[-1].lower(), b.group().lower(), here[-1]))
     flat = re.sub(rf"[{MARKS}]\n\s*", "\n", text).lower()
-    out["words"] = sorted({w for w in WORD.findall(flat) if len(w) > 1 and not w.isdigit() and len(w) <= 30})
+    out["inner"] = [lines[k] for k in full[2:-2]][crc32(text.encode()) % 7 :: 16]  # some lines to learn from
+    out["figures"] = sorted({w for w in WORD.findall(flat) if len(w) >= 4 and w.isdigit()})
+    out["words"] = sorted({w for w in WORD.findall(flat) if len(w) > 1 and not w.isdigit()})
     out["compounds"] = sorted({f"{a}-{b}" for a, b in re.findall(r"([^\W\d_]+)-(?=([^\W\d_]+))", flat)})
     return out
 
 
-PAGE = "page_id long, document_id long, page_index int, heads array<struct<side:string,form:string,alone:boolean,text:boolean>>, numbers array<struct<side:string,n:int,styled:boolean>>, breaks array<struct<a:string,b:string,mark:string>>, words array<string>, compounds array<string>"
+PAGE = "page_id long, document_id long, page_index int, heads array<struct<side:string,form:string,alone:boolean,text:boolean,code:long,size:int>>, numbers array<struct<side:string,n:int,styled:boolean>>, breaks array<struct<a:string,b:string,mark:string>>, words array<string>, figures array<string>, compounds array<string>, inner array<string>"
 
 
 def _read(batches):
     for rows in batches:
         out = [read_page(t) for t in rows["text"]]
-        yield pd.DataFrame({"page_id": rows["page_id"], "document_id": rows["document_id"], "page_index": rows["page_index"]} | {k: [x[k] for x in out] for k in ("heads", "numbers", "breaks", "words", "compounds")})
+        yield pd.DataFrame({"page_id": rows["page_id"], "document_id": rows["document_id"], "page_index": rows["page_index"]} | {k: [x[k] for x in out] for k in ("heads", "numbers", "breaks", "words", "figures", "compounds", "inner")})
 
 
-def confusion(a: str, b: str) -> tuple[float, int]:
-    """(edits that recognition does not explain, confusions) between a read word and a true one."""
-    best = [[(99.0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
-    best[0][0] = (0.0, 0)
+def confusion(a: str, b: str, most: int = 4) -> tuple[float, int]:
+    """(edits that recognition does not explain, confusions) between a read word and a true one; edits beyond ``most`` are not told apart."""
+    worst = (99.0, 0)
+    rows: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(a) + 3)]
+    rows[0][0] = (0.0, 0)
     for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            cost, n = best[i][j]
-            if cost > 4:
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):  # no more than a band can be reached
+            cost, n = rows[i].get(j, worst)
+            if cost > most:
                 continue
             steps = []
             if i < len(a) and j < len(b):
@@ -156,9 +159,9 @@ def confusion(a: str, b: str) -> tuple[float, int]:
                 if a.startswith(narrow, i) and b.startswith(wide, j):
                     steps.append((i + 1, j + 2, 0.0, 1))
             for x, y, c, m in steps:
-                if (cost + c, n + m) < best[x][y]:
-                    best[x][y] = (cost + c, n + m)
-    return best[-1][-1]
+                if (cost + c, n + m) < rows[x].get(y, worst):
+                    rows[x][y] = (cost + c, n + m)
+    return rows[len(a)].get(len(b), worst)
 
 
 def word_features(word: str, match: str, n_word: int, n_match: int) -> list[float]:
@@ -213,6 +216,35 @@ def train_joiner(words: list[tuple[str, int]], count: dict[str, int], compounds:
     return Boosted().fit(np.array(x, float), np.array(y, float)) if len(set(y)) == 2 else Boosted()
 
 
+def furniture_features(pages: int, distance: int | None, exact: bool, text: bool, text_share: float, alone: bool, size: int, number: bool, styled: bool, step: bool) -> list[float]:
+    """Of an outer line and the line in the same place on a neighbouring page: pages that carry the like, how far the neighbour is, whether both are the same to the letter, whether the line and its like run on into the text beside them, whether it is all its page holds, and for page numbers whether they have a style and count with the pages."""
+    return [np.log1p(pages), np.log1p(distance or 99), exact, text, text_share, alone, np.log1p(size), number, styled, step]
+
+
+def train_furniture(lines: list[str], least: int, seed: int = 3) -> Boosted:
+    """Heads and page numbers made out of lines of the corpus, against running text, tables, repeated sentences and figures."""
+    rng, x, y = random.Random(seed), [], []
+    lines = [t for t in lines if t]
+    for _ in range(4 * len(lines)):
+        line, beside = rng.choice(lines), rng.choice(lines)
+        apart, many, few = rng.randrange(1, 6), rng.randrange(least, 60), rng.randrange(1, least)
+        head = line.title().rstrip(",;")
+        odd = rng.random() * 0.4  # pages on which a head happens to look like text
+        add = lambda label, **f: (x.append(furniture_features(**({"pages": many, "distance": apart, "exact": rng.random() < 0.7, "text": False, "text_share": odd, "alone": False, "size": len(line), "number": False, "styled": False, "step": False} | f))), y.append(label))  # noqa: B023, E731
+        add(1, size=len(head))
+        add(1, size=len(head), text=True, text_share=max(odd, 0.1))
+        add(0, pages=few, distance=None if few == 1 else apart, text=runs_on("top", line, beside))
+        add(0, text=True, text_share=0.6 + 0.4 * rng.random())
+        add(0, text=False, text_share=0.55 + 0.4 * rng.random())
+        add(0, alone=True)
+        number = {"number": True, "size": rng.randrange(1, 5)}
+        add(1, **number, styled=True, step=True, pages=rng.randrange(2, 60))
+        add(1, **number, styled=True, pages=1, distance=None)
+        add(1, **number, step=True, pages=rng.randrange(2, 60))
+        add(0, **number, pages=1, distance=None)
+    return Boosted().fit(np.array(x, float), np.array(y, float)) if len(set(y)) == 2 else Boosted()
+
+
 def _rank(model: Boosted, accept: float):
     def run(batches):
         for rows in batches:
@@ -225,26 +257,42 @@ def _rank(model: Boosted, accept: float):
     return run
 
 
-def _mixed(batches):
-    """Figures with letters in them, and short words that a single confusion turns into what they stand for."""
-    for rows in batches:
-        out = []
-        for word in rows["word"]:
-            digits, letters = sum(c.isdigit() for c in word), sum(c.isalpha() for c in word)
-            if re.match(r"^[qh]\d$", word):
-                continue
-            if digits and letters:
-                tail = word[2:] if word.startswith("fy") else word
-                made = tail.translate(TO_DIGIT)
-                if tail != made and made.isdigit() and len(tail) > 1:
-                    out.append((word, word[: len(word) - len(tail)] + made, False))
-                if (made := word.translate(TO_LETTER)).isalpha():
-                    out.append((word, made, True))
-            elif len(word) <= 3:
-                out += [(word, word[:k] + x + word[k + 1 :], True) for k, c in enumerate(word) for g in CONFUSED if c in g for x in g if x != c and x.isalpha()]
-            elif word.startswith("fy") and (made := word[2:].translate(TO_DIGIT)).isdigit():
-                out.append((word, "fy" + made, False))
-        yield pd.DataFrame(out, columns=["word", "match", "is_word"])
+PAGES_A_BLOCK = 4096
+
+
+def _furniture(read: DataFrame, p: Noise) -> tuple[DataFrame, DataFrame]:
+    """(heads, numbers), each (page_id, side): the outer lines that the line-pair classifier takes for furniture."""
+    place = ["document_id", "kind", "side", "same"]
+    blank = F.lit(False)
+    heads = read.where("document_id is not null and page_index is not null").select("page_id", "document_id", "page_index", F.inline("heads")).where("length(form) > 0")
+    heads = heads.select("page_id", "document_id", "page_index", "side", F.lit("head").alias("kind"), F.col("form").alias("same"), "alone", "text", "code", "size", blank.alias("styled"))
+    numbers = read.select("page_id", "document_id", "page_index", F.inline("numbers"))
+    offset = F.coalesce((F.col("n") - F.col("page_index")).cast("string"), F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    numbers = numbers.select("page_id", F.coalesce("document_id", -F.col("page_id")).alias("document_id"), F.coalesce("page_index", F.lit(0)).alias("page_index"), "side", F.lit("number").alias("kind"), offset.alias("same"), blank.alias("alone"), blank.alias("text"), F.lit(0).cast("long").alias("code"), F.length(F.col("n").cast("string")).alias("size"), "styled")
+    lines = cut(heads.union(numbers))
+    groups = lines.groupBy(*place).agg(F.count_distinct("page_id").alias("pages"), F.avg(F.col("text").cast("int")).alias("text_share"))
+    # the neighbour is the nearest page before with the like of it, else the nearest after; blocks of pages bound the windows
+    near = Window.partitionBy(*place, F.floor(F.col("page_index") / PAGES_A_BLOCK)).orderBy("page_index", "page_id")
+    pairs = lines.withColumns({"code_": F.coalesce(F.lag("code").over(near), F.lead("code").over(near)), "at": F.coalesce(F.lag("page_index").over(near), F.lead("page_index").over(near))})
+    pairs = pairs.join(groups, place).select("page_id", *place, "pages", F.abs(F.col("at") - F.col("page_index")).alias("distance"), F.coalesce(F.col("code") == F.col("code_"), blank).alias("exact"), "text", "text_share", "alone", "size", (F.col("kind") == "number").alias("number"), "styled", ((F.col("kind") == "number") & F.col("at").isNotNull()).alias("step"))
+    # a bounded sample of the corpus's inner lines teaches the classifier
+    inner = [r.line for r in read.select(F.explode("inner").alias("line")).orderBy(F.xxhash64("line"), "line").limit(p.sample // 5).collect()]
+    model = train_furniture(inner, p.head_pages)
+
+    def judge(batches):
+        for rows in batches:
+            if len(rows):
+                fields = ["pages", "distance", "exact", "text", "text_share", "alone", "size", "number", "styled", "step"]
+                x = np.array([furniture_features(n, None if d != d else d, *rest) for n, d, *rest in zip(*(rows[f] for f in fields))], float)
+                yield rows.assign(p=model.predict(x))[["page_id", *place, "pages", "p"]]
+
+    judged = pairs.mapInPandas(judge, f"page_id long, {', '.join(f'{c} {t}' for c, t in pairs.select(*place).dtypes)}, pages long, p double")
+    judged = cut(judged)
+    whole = judged.groupBy(*place).agg(F.avg("p").alias("mean"))
+    # a head is judged by all of its pages together, a page number by itself
+    kept = judged.join(whole, place).where(((F.col("kind") == "head") & (F.col("mean") >= p.accept) & (F.col("pages") >= p.head_pages)) | ((F.col("kind") == "number") & (F.col("p") >= p.accept)))
+    kept = cut(kept.select("page_id", "side", "kind").distinct())
+    return kept.where("kind = 'head'").drop("kind"), kept.where("kind = 'number'").drop("kind")
 
 
 @dataclass
@@ -273,14 +321,16 @@ def read_scans(pages: DataFrame, p: Noise = Noise()) -> Reading:
     sample = [tuple(r) for r in trusted.where("length(word) between 4 and 20 and not word rlike '[0-9]'").orderBy(F.xxhash64("word")).limit(p.sample).collect()]
     ranker = train_ranker(sample)
     letters = F.length(F.regexp_replace("word", "[0-9]", ""))
-    rare = counts.select("word", "n").where((F.length("word") >= 4) & (2 * letters > F.length("word")))
-    near = similar_words(rare.select("word"), trusted.where("not word rlike '[0-9]'").select("word"), Rule(jaccard=0.25)).where("word <> match")
-    near = near.join(rare, "word").join(trusted.select(F.col("word").alias("match"), F.col("n").alias("m")), "match").where(F.col("m") >= p.ratio * F.col("n"))
+    mixed = (letters > 0) & (letters < F.length("word"))
+    rare = counts.select("word", "n").where((F.length("word") >= 4) & ((2 * letters > F.length("word")) | mixed))
+    # figures are what a misread figure stands for; they are no misread words themselves
+    figures = read.select(F.explode("figures").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= p.supported)
+    known = cut(trusted.where("length(word) >= 3").select("word", "n").union(figures))
+    near = similar_words(rare.select("word"), known.select("word"), Rule(jaccard=0.25)).where("word <> match")
+    near = near.join(rare, "word").join(known.select(F.col("word").alias("match"), F.col("n").alias("m")), "match").where(F.col("m") >= p.ratio * F.col("n"))
     ranked = near.select("word", "match", "n", "m").mapInPandas(_rank(ranker, p.accept), "word string, match string, p double")
-    mixed = counts.where("word rlike '[0-9]' or length(word) <= 3 or word like 'fy%'").select("word").mapInPandas(_mixed, "word string, match string, is_word boolean")
-    mixed = mixed.join(counts, "word").join(trusted.select(F.col("word").alias("match"), F.col("n").alias("m")), "match", "left").where(~F.col("is_word") | (F.col("m") >= 10 * p.ratio * F.col("n")))
-    guess = ranked.union(mixed.select("word", "match", F.lit(0.5))).join(counts.select(F.col("word").alias("match"), F.col("n").alias("m")), "match", "left")
-    guess = cut(guess.groupBy("word").agg(F.max_by("match", F.struct(F.round("p", 1), F.coalesce("m", F.lit(0)), "match")).alias("match")))
+    guess = ranked.join(known.select(F.col("word").alias("match"), F.col("n").alias("m")), "match")
+    guess = cut(guess.groupBy("word").agg(F.max_by("match", F.struct(F.round("p", 1), "m", "match")).alias("match")))
     # a replacement that is itself misread leads on to its own
     onward = guess.select(F.col("word").alias("match"), F.col("match").alias("onward"))
     guess = cut(guess.join(onward, "match", "left").select("word", F.coalesce("onward", "match").alias("match")).where("word <> match"))
@@ -313,16 +363,7 @@ def read_scans(pages: DataFrame, p: Noise = Noise()) -> Reading:
     joins = cut(kinds.select("a", "b", "mark", "joined", "n_joined", "n_a", "n_b", "c").mapInPandas(judge, "a string, b string, mark string"))
     broken = pairs.join(joins, ["a", "b", "mark"])
 
-    heads = read.where("document_id is not null and page_index is not null").select("page_id", "document_id", "page_index", F.inline("heads"))
-    spans = heads.groupBy("document_id", "side", "form").agg(F.count_distinct("page_id").alias("n"), F.min("page_index").alias("low"), F.max("page_index").alias("high"), F.min("alone").alias("alone"), F.avg(F.col("text").cast("int")).alias("text"))
-    # a line that is all its pages hold is no furniture of them; nor is what mostly runs on from the line beside it
-    spans = spans.where((F.col("n") >= p.head_pages) & (F.col("n") >= p.head_density * (F.col("high") - F.col("low") + 1)) & (F.length("form") > 0) & ~F.col("alone") & (F.col("text") < 0.5))
-    headed = heads.join(spans.select("document_id", "side", "form"), ["document_id", "side", "form"])
-
-    numbers = read.select("page_id", "document_id", "page_index", F.inline("numbers")).withColumn("offset", F.col("n") - F.col("page_index"))
-    alike = Window.partitionBy("document_id", "side", "offset")
-    numbers = numbers.withColumn("alike", F.when(F.col("offset").isNotNull(), F.size(F.collect_set("page_id").over(alike))).otherwise(0)).where("styled or alike >= 2")
-
+    headed, numbers = _furniture(read, p)
     kind = lambda df, name: df.select("page_id", F.lit(name).alias("noise_kind"))
     found = kind(broken, "hyphen_break").union(kind(misread, "misread")).union(kind(headed, "running_head")).union(kind(numbers, "page_number")).distinct()
     corrections = misread.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "match"))).alias("fix"))
