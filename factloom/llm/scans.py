@@ -225,6 +225,8 @@ def train_furniture(lines: list[str], least: int, seed: int = 3) -> Boosted:
     """Heads and page numbers made out of lines of the corpus, against running text, tables, repeated sentences and figures."""
     rng, x, y = random.Random(seed), [], []
     lines = [t for t in lines if t]
+    while len(lines) < 60:  # a corpus without lines to learn from
+        lines.append(" ".join("".join(rng.choices("aeinorstl", k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", ","]))
     for _ in range(4 * len(lines)):
         line, beside = rng.choice(lines), rng.choice(lines)
         apart, many, few = rng.randrange(1, 6), rng.randrange(least, 60), rng.randrange(1, least)
