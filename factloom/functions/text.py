@@ -16,11 +16,12 @@ RENAME_PHRASES = ["formerly known as", "formerly", "former name", "changed its n
 CURRENCY_ALIASES = {"inr": ["₹", "rs", "rs.", "inr"], "₹": ["₹", "rs", "rs.", "inr"], "rs": ["₹", "rs", "rs.", "inr"], "usd": ["$", "us$", "usd"], "$": ["$", "us$", "usd"], "eur": ["€", "eur"], "€": ["€", "eur"], "gbp": ["£", "gbp"], "£": ["£", "gbp"]}
 MAGNITUDE_ALIASES = {"crore": ["crore", "crores", "cr"], "cr": ["cr", "crore", "crores"], "lakh": ["lakh", "lakhs", "lac"], "million": ["million", "mn", "mln"], "mn": ["mn", "million"], "billion": ["billion", "bn"], "bn": ["bn", "billion"], "thousand": ["thousand", "'000", "000s"], "bps": ["bps", "basis points", "basis point"]}
 
-SPACE = "[\\s   -     　﻿]+"
-QUOTES_DASHES = ("‘’‚‛“”„‟‐‑‒–—―−", "''''\"\"\"\"-------")
+# What counts as a figure, a percentage, and a magnitude or unit word.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 PERCENT = r"(?i)%|per\s?cent|percent"
 MAGNITUDE_WORDS = r"(?i)\b(?:crores?|cr|lakhs?|lac|millions?|mn|mln|billions?|bn|thousand|bps|basis\s+points?|tonnes?|tons?|units?|days?|sq\.?\s?ft)\b"
+SPACE = "[\\s   -     　﻿]+"
+QUOTES_DASHES = ("‘’‚‛“”„‟‐‑‒–—―−", "''''\"\"\"\"-------")
 
 
 def fold(text: Column) -> Column:
@@ -70,7 +71,8 @@ def digits_of(text: Column) -> Column:
     s = F.trim(F.translate(text, "−", "-"))
     found = F.regexp_extract_all(s, F.lit(NUMBER), F.lit(0))
     n = F.when(F.size(found) == 1, F.regexp_replace(F.element_at(found, 1), ",", "").try_cast("double"))
-    return F.when((s.startswith("(") & s.endswith(")")) | s.startswith("-"), -n).otherwise(n)
+    bare = F.ltrim(F.btrim(s, F.lit("()")))
+    return F.when((s.startswith("(") & s.endswith(")")) | bare.startswith("-"), -n).otherwise(n)
 
 
 def norm_object(text: Column) -> Column:

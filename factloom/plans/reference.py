@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, periods, text
-from factloom.operators import candidates, grounding, resolve, retrieval, signals, views
+from factloom.operators import candidates, grounding, resolve, retrieval, signals, stages, views
 from factloom.sources import ingest
 from factloom.tables import table
 
@@ -152,7 +152,14 @@ def parse_unit_matrix(spark, d):
     return table(spark, d, "facts").where("fact_type = 'numeric'").select(F.col("id").alias("fact_id"), numbers.parse_currency(F.col("value_raw")).alias("currency_read"), numbers.parse_unit(F.col("unit_raw"), F.col("currency")).alias("unit_read"))
 
 
-@query()
+@query("""with f as (select f.id, trim(coalesce(f.reporting_period_raw, '')) l, case s.fy_convention when 'jan-dec' then 1 when 'jul-jun' then 7 else 4 end m from facts f join source_files s on s.id = f.document_id),
+y as (select *, case when regexp_full_match(l, '(Q[1-4] |H[12] )?FY[0-9]{2}') or regexp_full_match(l, '[0-9]{4}-[0-9]{2}') then 2000 + right(l, 2)::int end fy, try_strptime(regexp_extract(l, '[A-Z][a-z]+ [0-9]+, [0-9]{4}$'), '%B %d, %Y')::date d from f),
+b as (select *, case when fy is not null then make_date(case when m = 1 then fy else fy - 1 end, m, 1) end fs from y),
+k as (select *, case when l = '' then null when fy is not null and l[1] = 'Q' then 'quarter' when fy is not null and l[1] = 'H' then 'half_year' when fy is not null then 'fiscal_year' when regexp_full_match(l, '[0-9]{4}') then 'calendar_year'
+  when d is not null and l like 'as on %' then 'instant' when d is not null and l like 'year ended %' then 'fiscal_year' when d is not null and l like 'nine months ended %' then 'range' else 'unknown' end t from b)
+select id as fact_id, (case when t = 'quarter' then fs + to_months(3 * (l[2]::int - 1)) when t = 'half_year' then fs + to_months(6 * (l[2]::int - 1)) when fy is not null then fs when t = 'calendar_year' then make_date(l::int, 1, 1) when t = 'instant' then d
+    when t = 'fiscal_year' then d + 1 - to_months(12) when t = 'range' then d + 1 - to_months(9) end)::date as period_start,
+  (case when t = 'quarter' then fs + to_months(3 * l[2]::int) when t = 'half_year' then fs + to_months(6 * l[2]::int) when fy is not null then fs + to_months(12) when t = 'calendar_year' then make_date(l::int + 1, 1, 1) when d is not null then d + 1 end)::date as period_end, t as period_type from k""")
 def parse_period_matrix(spark, d):
     files = table(spark, d, "source_files").select(F.col("id").alias("document_id"), "fy_convention")
     rows = table(spark, d, "facts").select(F.col("id").alias("fact_id"), "document_id", F.coalesce("reporting_period_raw", F.lit("")).alias("label")).join(files, "document_id")
@@ -161,13 +168,17 @@ def parse_period_matrix(spark, d):
     return rows.join(read, ["label", "convention"]).select("fact_id", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.type").alias("period_type"))
 
 
-@query(r"""with t as (select document_id, text from pages), m as (select document_id, case when regexp_matches(text, '(?i)(?:financial|fiscal)\s+year\s+(?:that\s+)?end(?:ed|ing|s)?\s+(?:on\s+)?(?:the\s+)?(?:\d{1,2}(?:st|nd|rd|th)?\s+)?([A-Za-z]{3,})')
-  then regexp_extract(text, '(?i)(?:financial|fiscal)\s+year\s+(?:that\s+)?end(?:ed|ing|s)?\s+(?:on\s+)?(?:the\s+)?(?:\d{1,2}(?:st|nd|rd|th)?\s+)?([A-Za-z]{3,})', 1) else regexp_extract(text, '(?i)year\s+end(?:ed|ing)\s+(?:on\s+)?([A-Za-z]{3,})\s+\d{1,2}', 1) end mon from t),
-c as (select document_id, case when lower(mon) in ('mar', 'march') then 'apr-mar' when lower(mon) in ('dec', 'december') then 'jan-dec' when lower(mon) in ('jun', 'june') then 'jul-jun' end conv from m)
-select document_id, coalesce(conv, '') as convention, count(*) as n_pages from c group by all""")
+YEAR_SQL = "year (that )?(ended|ending|ends|end) (on )?(the )?([0-9]{1,2} ?(st|nd|rd|th)? )?([a-z]{3,})"
+
+
+@query(rf"""with t as (select document_id, page_index, regexp_replace(lower(text), '\s+', ' ', 'g') x from pages),
+h as (select document_id, page_index, nullif(regexp_extract(x, '(financial|fiscal) {YEAR_SQL}', 8), '') s, nullif(regexp_extract(x, 'year (ended|ending) (on )?([a-z]{{3,}}) [0-9]', 3), '') w from t),
+m as (select document_id, coalesce(arg_min(s, page_index) filter (s is not null), arg_min(w, page_index) filter (w is not null)) mon from h group by 1),
+c as (select document_id, case when mon in ('mar', 'march') then 'apr-mar' when mon in ('dec', 'december') then 'jan-dec' when mon in ('jun', 'june') then 'jul-jun' end conv from m)
+select f.id as document_id, case when f.fy_convention in ('apr-mar', 'jan-dec', 'jul-jun') then f.fy_convention else coalesce(c.conv, 'apr-mar') end as convention,
+  case when f.fy_convention in ('apr-mar', 'jan-dec', 'jul-jun') then 'override' when c.conv is not null then 'detected' else 'config_default' end as source from source_files f left join c on c.document_id = f.id""")
 def detect_fy(spark, d):
-    found = table(spark, d, "pages").select("document_id", F.coalesce(periods.detect_convention(F.col("text")), F.lit("")).alias("convention"))
-    return found.groupBy("document_id", "convention").agg(F.count("*").alias("n_pages"))
+    return stages.resolve_convention(table(spark, d, "source_files"), table(spark, d, "pages"))
 
 
 LEGAL = "|".join(text.LEGAL_SUFFIXES)
