@@ -1,72 +1,116 @@
 """Candidate fact pairs by blocking, scored, the best few of every fact.
 
-Facts of one entity and predicate score alike against any other fact, so groups are compared instead of facts: the
-score of two groups is computed once, and a fact's partners are the lowest ids of its best groups. No block is ever
-joined with itself fact by fact, so that the work grows with the facts, however large an entity is.
+Three blocks make candidates: facts of one entity, facts of one predicate, and facts that share a token which not too
+many facts hold. The last are bounded and joined fact by fact. In the first two a pair that shares no such token scores
+by entity, predicate and the frequent tokens only, so facts that have these in common form a kind, kinds are compared
+instead of facts, and of each kind only the lowest ids can be among anybody's best: no hot entity is joined with itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy, text
 from factloom.operators.signals import Thresholds
+from factloom.tables import cut
 
 
-def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
+def fact_rows(facts: DataFrame) -> DataFrame:
+    """(id, document_id, e, p, t): eligible facts with entity, predicate text and the content tokens of subject, predicate and object."""
+    said = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("subject_raw", "predicate", "object_raw")])
+    key = F.lower(text.predicate_text(F.col("predicate"), F.col("predicate_norm")))
+    return facts.where("lifecycle_state = 'ELIGIBLE_FOR_REASONING'").select("id", "document_id", F.col("subject_entity_id").alias("e"), key.alias("p"), text.content_tokens(said).alias("t"))
+
+
+def _score(same: Column, sim: Column, shared: Column, p: Thresholds) -> Column:
+    whole = p.weight_predicate + p.weight_lexical + p.weight_entity
+    if whole <= 0:
+        return F.lit(0.0)
+    return F.round((p.weight_entity * same.cast("int") + p.weight_predicate * sim + p.weight_lexical * F.least(F.lit(1.0), shared / 3)) / whole, 6)
+
+
+def _methods(same: Column, exact: Column, sim: Column, lexical: Column, p: Thresholds) -> Column:
+    return F.array_compact(F.array(F.when(same, "entity"), F.when(exact, "predicate_exact").when(sim >= p.predicate, "predicate_similar"), F.when(lexical, "lexical")))
+
+
+def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: DataFrame | None = None) -> DataFrame:
     """(a, b, score, methods) with a < b: pairs within the first ``top_k`` of either fact, best score first, then lowest ids.
 
-    A pair is a candidate if the facts share an entity or a predicate, or, failing both, if at least ``min_shared``
-    content tokens of their predicates are shared and the score reaches ``candidate``. Facts without predicate text and
-    entity have no partners. Rows must have unique ids.
+    Tokens held by more than ``bucket_max`` facts make no block, but count as shared. A pair that only a token block
+    gives needs ``min_shared`` shared tokens and a score of ``candidate``. ``documents`` (id): only pairs that touch one
+    of them are returned; their partners come from all documents. Rows must have unique ids.
     """
     k = p.top_k
-    key = F.lower(text.predicate_text(F.col("predicate"), F.col("predicate_norm")))
-    rows = facts.where("lifecycle_state = 'ELIGIBLE_FOR_REASONING'").select("id", F.col("subject_entity_id").alias("e"), key.alias("p"))
-    rows = rows.where("e is not null or p <> ''")
-
-    words = rows.select("p").where("p <> ''").distinct().withColumn("t", text.content_tokens(F.col("p")))
-    bags = words.select("p", "t", F.explode("t").alias("w"))
-    dense = bags.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= p.bucket_max).select("w")
-    met = bags.join(dense, "w")
-    shared = F.size(F.array_intersect("t", "u"))
-    alike = met.alias("x").join(met.alias("y"), F.col("x.w") == F.col("y.w")).select(F.col("x.p").alias("p"), F.col("y.p").alias("q"), F.col("x.t").alias("t"), F.col("y.t").alias("u")).distinct()
-    lexical = alike.where(F.col("p") != F.col("q")).select("p", "q", shared.alias("shared"), (fuzzy.set_ratio("p", "q") / 100).alias("sim"))
-    whole = p.weight_predicate + p.weight_lexical + p.weight_entity
-    score = lambda same, sim, n: F.round((p.weight_entity * same + p.weight_predicate * sim + p.weight_lexical * F.least(F.lit(1.0), n / 3)) / whole, 6)
-    lit = F.lit
-
-    # the lowest ids of every group of one entity and predicate: no fact needs more than k partners and itself
-    low = Window.partitionBy("e", "p").orderBy("id")
-    heads = rows.withColumn("r", F.row_number().over(low)).where(F.col("r") <= k + 1).drop("r")
-    groups = heads.where("e is not null").groupBy("e", "p").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-
-    sizes = words.select("p", F.size("t").alias("n"))
-    # within an entity: groups of its predicates, compared through the predicates' texts
-    inside = groups.select("e", F.col("p").alias("q"), "ids")
-    kinds = groups.select("e", "p").join(inside, "e")
-    pairs = kinds.select("p", "q").distinct()
-    sims = pairs.select("p", "q", F.when((F.col("p") == F.col("q")) & (F.col("p") != ""), 100.0).otherwise(fuzzy.set_ratio("p", "q")).alias("sim"), F.size(F.array_intersect(text.content_tokens(F.col("p")), text.content_tokens(F.col("q")))).alias("shared"))
-    own = kinds.join(sims, ["p", "q"]).select("e", "p", "q", "ids", score(lit(1.0), F.coalesce("sim", lit(0.0)) / 100, F.col("shared")).alias("score"), F.when(F.col("p") == F.col("q"), lit("entity,predicate_exact")).otherwise(lit("entity")).alias("methods"))
-    ranked = own.select("e", "p", "score", "methods", F.explode("ids").alias("o"))
-    best = Window.partitionBy("e", "p").orderBy(F.desc("score"), "o")
-    mine = ranked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("e", "p").agg(F.collect_list(F.struct("score", "o", "methods")).alias("mine"))
-
-    # across entities: per predicate the lowest ids, at most k of one entity, so that k remain whichever entity asks
-    few = Window.partitionBy("p", "e").orderBy("id")
-    wide = heads.where("p <> ''").withColumn("r", F.when(F.col("e").isNull(), F.lit(1)).otherwise(F.row_number().over(few))).where(F.col("r") <= k).select("p", "id", "e")
-    lowest = Window.partitionBy("p").orderBy("id")
-    wide = wide.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= 2 * k + 1).select(F.col("p").alias("q"), F.col("id").alias("o"), F.col("e").alias("oe"))
-    same = wide.join(sizes.withColumnRenamed("p", "q"), "q").select(F.col("q").alias("p"), "o", "oe", score(lit(0.0), lit(1.0), F.col("n")).alias("score"), lit("predicate_exact").alias("methods"))
-    other = lexical.where(F.col("shared") >= p.min_shared).withColumn("score", score(lit(0.0), F.col("sim"), F.col("shared"))).where(F.col("score") >= p.candidate)
-    far = other.join(wide, "q").select("p", "o", "oe", "score", lit("lexical").alias("methods"))
-    theirs = same.unionByName(far).groupBy("p").agg(F.collect_list(F.struct("score", "o", "methods", "oe")).alias("theirs"))
-
-    none = F.array().cast("array<struct<score:double,o:bigint,methods:string>>")
-    out = rows.join(mine, ["e", "p"], "left").join(theirs, "p", "left")
-    foreign = F.transform(F.filter(F.coalesce("theirs", F.array().cast("array<struct<score:double,o:bigint,methods:string,oe:bigint>>")), lambda x: ~F.coalesce(x["oe"] == F.col("e"), lit(False))), lambda x: F.struct(x["score"].alias("score"), x["o"].alias("o"), x["methods"].alias("methods")))
-    listed = F.filter(F.concat(F.coalesce("mine", none), foreign), lambda x: x["o"] != F.col("id"))
-    keyed = F.slice(F.array_sort(F.transform(listed, lambda x: F.struct((-x["score"]).alias("s"), x["o"].alias("o"), x["methods"].alias("m")))), 1, k)
-    picked = out.select("id", F.explode(keyed).alias("x"))
-    return picked.select(F.least("id", "x.o").alias("a"), F.greatest("id", "x.o").alias("b"), (-F.col("x.s")).alias("score"), F.split("x.m", ",").alias("methods")).distinct()
+    rows = cut(fact_rows(facts))
+    words = rows.select("id", F.explode("t").alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    marked = words.join(counts, "w")
+    dense = marked.where(F.col("n") > p.bucket_max).groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("d"))
+    keyed = cut(rows.join(dense, "id", "left").select("id", "document_id", "e", "p", F.coalesce("d", F.array().cast("array<string>")).alias("d")))
+
+    yes, no = F.lit(True), F.lit(False)
+    sim_of = lambda pairs: pairs.join(pairs.select("p", "q").distinct().where("p <> '' and q <> ''").select("p", "q", F.when(F.col("p") == F.col("q"), 1.0).otherwise(fuzzy.set_ratio("p", "q") / 100).alias("sim")), ["p", "q"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+
+    # pairs that share a token of a block
+    rare = marked.where(F.col("n").between(2, p.bucket_max)).select("w", "id")
+    met = rare.alias("l").join(rare.alias("r"), "w").where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("rare"))
+    side = lambda i, e, q, d: keyed.select(F.col("id").alias(i), F.col("e").alias(e), F.col("p").alias(q), F.col("d").alias(d))
+    met = sim_of(met.join(side("a", "ea", "p", "da"), "a").join(side("b", "eb", "q", "db"), "b"))
+    same, exact = F.coalesce(F.col("ea") == F.col("eb"), no), (F.col("p") == F.col("q")) & (F.col("p") != "")
+    met = met.withColumns({"shared": F.col("rare") + F.size(F.array_intersect("da", "db")), "same": same, "exact": exact})
+    met = met.withColumn("score", _score(F.col("same"), F.col("sim"), F.col("shared"), p))
+    met = met.where((F.col("same") | F.col("exact")) | ((F.col("shared") >= p.min_shared) & (F.col("score") >= p.candidate)))
+    met = met.select("a", "b", "score", _methods(F.col("same"), F.col("exact"), F.col("sim"), yes, p).alias("methods"))
+    lexical = met.select(F.col("a").alias("x"), F.col("b").alias("o"), "score", "methods").union(met.select("b", "a", "score", "methods"))
+
+    # kinds: no fact needs more of one than the k lowest ids beside itself
+    def lowest(*key):
+        of = Window.partitionBy(*key).orderBy("id")
+        return keyed.withColumn("r", F.row_number().over(of)).where(F.col("r") <= k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+    def best(kinds, key):
+        """For each kind (``key``, p, d) the first k + 1 of (score, id, methods) among the kinds it is compared with."""
+        ranked = kinds.select(*key, "score", "methods", F.explode("ids").alias("o")).withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "o"))).where(F.col("r") <= k + 1)
+        return ranked.groupBy(*key).agg(F.collect_list(F.struct("o", "score", "methods")).alias("best"))
+
+    shared = F.size(F.array_intersect("d", "dd"))
+    kinds = cut(lowest("e", "p", "d").where("e is not null"))
+    # predicates of an entity that cannot reach what its own facts of the same predicate score are not looked at
+    own = kinds.drop("ids").join(kinds.select("e", "p", F.col("d").alias("dd"), "ids"), ["e", "p"])
+    full = F.when(F.col("p") == "", 0.0).otherwise(1.0)
+    own = cut(best(own.select("e", "p", "d", "ids", _score(yes, full, shared, p).alias("score"), _methods(yes, F.col("p") != "", full, no, p).alias("methods")), ["e", "p", "d"]))
+    least = own.select("e", "p", "d", F.when(F.size("best") > k, F.array_min(F.transform("best", lambda x: x["score"]))).otherwise(0.0).alias("least"))
+    floor = least.groupBy("e", "p").agg(F.min("least").alias("floor"))
+    named = kinds.select("e", "p").distinct()
+    other = sim_of(named.join(named.select("e", F.col("p").alias("q")), "e").where("p <> q")).join(floor, ["e", "p"]).where(_score(yes, F.col("sim"), F.lit(3), p) >= F.col("floor"))
+    other = other.join(least, ["e", "p"]).where(_score(yes, F.col("sim"), F.lit(3), p) >= F.col("least")).drop("floor", "least")
+    other = other.join(kinds.select("e", F.col("p").alias("q"), F.col("d").alias("dd"), "ids"), ["e", "q"])
+    other = best(other.select("e", "p", "d", "ids", _score(yes, F.col("sim"), shared, p).alias("score"), _methods(yes, no, F.col("sim"), no, p).alias("methods")), ["e", "p", "d"])
+    wide = lowest("p", "d").where("p <> ''")
+    across = wide.drop("ids").join(wide.select("p", F.col("d").alias("dd"), "ids"), "p")
+    across = best(across.select("p", "d", "ids", _score(no, F.lit(1.0), shared, p).alias("score"), _methods(no, yes, F.lit(1.0), no, p).alias("methods")), ["p", "d"])
+
+    listed = lambda lists, key: keyed.join(lists, key).select(F.col("id").alias("x"), F.inline("best")).where("x <> o").select("x", "o", "score", "methods")
+    every = lexical.union(listed(own, ["e", "p", "d"])).union(listed(other, ["e", "p", "d"])).union(listed(across, ["p", "d"]))
+    # of several readings of one pair the fullest holds
+    every = every.groupBy("x", "o").agg(F.max(F.struct("score", F.size("methods").alias("n"), "methods")).alias("m")).select("x", "o", "m.score", "m.methods")
+    top = every.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "o"))).where(F.col("r") <= k)
+    pairs = top.groupBy(F.least("x", "o").alias("a"), F.greatest("x", "o").alias("b")).agg(F.max(F.struct("score", F.size("methods").alias("n"), "methods")).alias("m")).select("a", "b", "m.score", "m.methods")
+    if documents is not None:
+        touched = keyed.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(touched, "id", "left_semi").select("a", "b").distinct()
+        pairs = pairs.join(ends, ["a", "b"], "left_semi")
+    return pairs
+
+
+def retrieval_summary(pairs: DataFrame, signals: DataFrame, facts: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
+    """(measure, key, n): eligible facts, pairs, the most there could be, and pairs by method, period and entity relation, across documents, comparable in numbers, with a scope conflict."""
+    eligible = facts.where("lifecycle_state = 'ELIGIBLE_FOR_REASONING'").agg(F.count("*").alias("n"))
+    row = lambda df, measure, key=F.lit(""): df.select(F.lit(measure).alias("measure"), key.alias("key"), "n")
+    count = lambda df, measure: row(df.agg(F.count("*").alias("n")), measure)
+    grouped = lambda df, measure, c: row(df.groupBy(F.col(c).alias("_k")).agg(F.count("*").alias("n")), measure, F.col("_k"))
+    out = row(eligible, "facts_eligible").union(row(eligible.select((F.col("n") * p.top_k).alias("n")), "max_possible")).union(count(pairs, "candidate_pairs"))
+    out = out.union(grouped(pairs.select(F.explode("methods").alias("method")), "by_method", "method"))
+    out = out.union(grouped(signals, "by_period_relation", "period_relation")).union(grouped(signals, "by_entity_relation", "entity_relation"))
+    return out.union(count(signals.where("not same_document"), "cross_document")).union(count(signals.where("numeric_comparable"), "numeric_comparable")).union(count(signals.where("size(scope_conflict) > 0"), "scope_conflict"))

@@ -36,35 +36,45 @@ def test_golden_corpus(spark):
     assert {r.code for k, r in out.items() if k not in want} == {"weak_predicate"}
 
 
-def brute_pairs(rows, k):
+def brute_pairs(rows, k, bucket):
     stop = {"from", "of", "the"}
-    tokens = lambda p: {t for t in p.split() if t not in stop and len(t) > 1}
+    tokens = {x[0]: {t for t in " ".join(x[3:] + x[2:3]).lower().split() if t not in stop and len(t) > 1} for x in rows}
+    held = {}
+    for n, ts in tokens.items():
+        for t in ts:
+            held.setdefault(t, set()).add(n)
     pairs = []
     for x in rows:
         for y in rows:
             if x[0] < y[0]:
                 same, exact = x[1] is not None and x[1] == y[1], x[2] == y[2] and x[2] != ""
-                shared = len(tokens(x[2]) & tokens(y[2]))
-                sim = 1.0 if exact else fuzzy.token_set_ratio(x[2], y[2]) / 100
-                score = round((0.4 * same + 0.3 * sim + 0.2 * min(1.0, shared / 3)) / 0.9, 6)
-                if same or exact or (shared >= 2 and score >= 0.55):
-                    pairs.append((-score, x[0], y[0]))
-    seen, out = {}, set()
-    for s, a, b in sorted(pairs):
+                both = tokens[x[0]] & tokens[y[0]]
+                lexical = any(len(held[t]) <= bucket for t in both)
+                sim = fuzzy.token_set_ratio(x[2], y[2]) / 100 if x[2] and y[2] else 0.0
+                score = round((0.4 * same + 0.3 * sim + 0.2 * min(1.0, len(both) / 3)) / 0.9, 6)
+                if same or exact or (lexical and len(both) >= 2 and score >= 0.55):
+                    methods = ["entity"] * same + (["predicate_exact"] if exact else ["predicate_similar"] if sim >= 0.6 else []) + ["lexical"] * lexical
+                    pairs.append((-score, x[0], y[0], methods))
+    seen, out = {}, {}
+    for s, a, b, methods in sorted(pairs):
         if seen.get(a, 0) < k or seen.get(b, 0) < k:
-            out.add((a, b))
+            out[a, b] = (-s, methods)
         seen[a], seen[b] = seen.get(a, 0) + 1, seen.get(b, 0) + 1
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_retrieval_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "bucket"), [(1, 400), (2, 12), (3, 5)])
+def test_retrieval_equals_brute_force(spark, seed, bucket):
     rng = random.Random(seed)
     names = ["revenue from operations", "revenue from services", "profit after tax", "total revenue from operations net", ""]
-    rows = [(n, rng.choice([1, 1, 1, 2, 3, 4, None]), rng.choice(names)) for n in range(1, 90)]
-    df = spark.createDataFrame([fact(n, 1, p, 1.0, entity=e) for n, e, p in rows], FACT)
-    got = retrieval.candidate_pairs(df, signals.Thresholds(top_k=4)).select("a", "b").collect()
-    assert len(got) == len(set(got)) and {tuple(r) for r in got} == brute_pairs([r for r in rows if r[1] is not None or r[2]], 4)
+    rows = [(n, rng.choice([1, 1, 1, 2, 3, 4, None]), rng.choice(names), rng.choice(["acme", "acme works", "other mills", ""]), " ".join(rng.sample(["crore", "mn", "10", "25", "70", "81", "93"], 2))) for n in range(1, 90)]
+    df = spark.createDataFrame([fact(n, n % 3, p, 1.0, entity=e, subject_raw=s, object_raw=o) for n, e, p, s, o in rows], FACT)
+    p = signals.Thresholds(top_k=4, bucket_max=bucket)
+    got = retrieval.candidate_pairs(df, p).collect()
+    want = brute_pairs(rows, 4, bucket)
+    assert len(got) == len(want) and {(r.a, r.b): (r.score, r.methods) for r in got} == {k: (pytest.approx(s), m) for k, (s, m) in want.items()}
+    one = retrieval.candidate_pairs(df, p, spark.createDataFrame([(1,)], "id long"))
+    assert {(r.a, r.b) for r in one.collect()} == {k for k in want if 1 in (k[0] % 3, k[1] % 3)}
 
 
 def test_verdict_grid(spark):
