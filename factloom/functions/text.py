@@ -54,16 +54,20 @@ def salient_tokens(text: Column) -> Column:
 
 def token_in_text(token: Column, text: Column) -> Column:
     """Whether a token stands in a text: percent in any form, figures with no digit beside them, anything else as a substring."""
+    token = F.trim(token)
     bare, plain = F.regexp_replace(token, ",", ""), F.regexp_replace(text, ",", "")
     figure = F.concat(F.lit(r"(?<![\d.])\Q"), bare, F.lit(r"\E(?!\d)"))
     return F.when(F.trim(token) == "", True).when(token == "%", text.rlike(PERCENT)).when(token.rlike(r"\d"), F.regexp_like(plain, figure)).otherwise(F.contains(F.lower(text), F.lower(token)))
 
 
-def alias_in_text(value: Column, text: Column, aliases: dict[str, list[str]]) -> Column:
-    """Whether a value or one of its aliases stands in a text."""
+def alias_in_text(value: Column, text: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+    """Whether one of a value's aliases stands in a text as a substring; a value without any, as ``token_in_text`` has it."""
+    plain = token_in_text(value, text)
+    if not aliases:
+        return plain
     table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    forms = F.coalesce(F.try_element_at(table, F.lower(F.trim(value))), F.array(F.lower(F.trim(value))))
-    return F.exists(forms, lambda a: F.contains(F.lower(text), a))
+    forms = F.try_element_at(table, F.lower(F.trim(value)))
+    return F.when(forms.isNull(), plain).otherwise(F.exists(forms, lambda a: F.contains(F.lower(text), a)))
 
 
 def digits_of(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from zlib import crc32
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy, text
+from factloom.tables import cut
 
 
 def _numbered(items: list[str]) -> list[str]:
@@ -105,24 +107,66 @@ def dominant(rows: DataFrame, owner: str, entity: str) -> DataFrame:
     return first.where("_ties = 1").select(owner, entity, "n")
 
 
-def resolve(facts: DataFrame, entities: DataFrame, merge: float = 94.0, block: float = 88.0) -> DataFrame:
-    """(fact_id, entity_id, method): exact key first, then the closest key that reaches both thresholds, then a new entity.
+def resolve(facts: DataFrame, entities: DataFrame, merge: float = 94.0, block: float = 88.0, confirmer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fact_id, entity_id, method, score, reason) of every fact with a subject; ``entity_id`` null and a ``reason`` where it stays open.
 
-    A key's entity is the one of the smallest id; a new entity takes the smallest fact id of its key, negated. General
-    references ("the Company") follow the dominant entity of their document; keys that come out empty stay open.
+    Exact key first. Else the known key with the highest set ratio of at least ``block``, of equal ones the entity of the
+    smallest id: it is taken if it also reaches ``merge`` in sort ratio, else if the ``confirmer`` says so, else the
+    subject stays open. A key that nothing is near makes a new entity, named after the smallest fact id, negated.
+    General references ("the Company") follow the dominant entity of their document. ``confirmer``: (key, match) ->
+    (key, same, confidence), asked only about the open keys; a doubt or a confidence below 0.5 leaves them open.
     """
-    named = facts.select(F.col("id").alias("fact_id"), "document_id", "subject_raw", "subject_entity_id", text.normalize_name(F.col("subject_raw")).alias("key"), text.is_anaphora(F.col("subject_raw")).alias("general"))
+    named = facts.where("subject_raw is not null").select(F.col("id").alias("fact_id"), "document_id", text.normalize_name(F.col("subject_raw")).alias("key"), text.is_anaphora(F.col("subject_raw")).alias("general"))
     known = entities.select(text.normalize_name(F.col("canonical_label")).alias("key"), "id").where("key <> ''").groupBy("key").agg(F.min("id").alias("entity_id"))
+    none, whole = F.lit(None).cast("double"), F.lit(None).cast("string")
     asked = named.where("not general and key <> ''").select("key").distinct()
     open_ = asked.join(known, "key", "left_anti")
-    best = Window.partitionBy("key").orderBy(F.desc("sort_ratio"), F.desc("set_ratio"), "entity_id")
-    close = fuzzy_block(open_, known, block, merge).join(known.withColumnRenamed("key", "match"), "match").withColumn("r", F.row_number().over(best)).where("r = 1").select("key", "entity_id")
-    made = named.where("not general").join(open_, "key").join(close, "key", "left_anti").groupBy("key").agg((-F.min("fact_id")).alias("entity_id"))
-    table = known.withColumn("method", F.lit("deterministic")).unionByName(close.withColumn("method", F.lit("similarity"))).unionByName(made.withColumn("method", F.lit("new_entity")))
-    direct = named.where("not general").join(table, "key")
+    best = Window.partitionBy("key").orderBy(F.desc("set_ratio"), "entity_id")
+    near = fuzzy_block(open_, known, block).join(known.withColumnRenamed("key", "match"), "match").withColumn("r", F.row_number().over(best)).where("r = 1")
+    near = cut(near.select("key", "match", "entity_id", "sort_ratio"))
+    merged = F.col("sort_ratio") >= merge
+    close = near.where(merged).select("key", "entity_id", F.lit("similarity").alias("method"), (F.col("sort_ratio") / 100).alias("score"), whole.alias("reason"))
+    left = near.where(~merged)
+    if confirmer is None:
+        doubt = left.select("key", F.lit(None).cast("long").alias("entity_id"), whole.alias("method"), none.alias("score"), F.lit("similar_unconfirmed").alias("reason"))
+    else:
+        said = left.join(confirmer(left.select("key", "match")).select("key", "same", "confidence"), "key", "left")
+        yes = F.coalesce(F.col("same") & (F.col("confidence") >= 0.5), F.lit(False))
+        doubt = said.select("key", F.when(yes, F.col("entity_id")).alias("entity_id"), F.when(yes, "llm").alias("method"), F.when(yes, F.col("confidence")).alias("score"), F.when(~yes, "llm_not_same").alias("reason"))
+    made = named.where("not general").join(open_, "key").join(near, "key", "left_anti").groupBy("key").agg((-F.min("fact_id")).alias("entity_id"))
+    table = known.select("key", "entity_id", F.lit("deterministic").alias("method"), none.alias("score"), whole.alias("reason")).unionByName(close).unionByName(doubt)
+    table = table.unionByName(made.select("key", "entity_id", F.lit("new_entity").alias("method"), none.alias("score"), whole.alias("reason")))
+    direct = cut(named.where("not general").join(table, "key", "left").select("fact_id", "document_id", "entity_id", "method", "score", F.coalesce("reason", F.when(F.col("key") == "", "empty_key")).alias("reason")))
     leading = dominant(direct.select("document_id", "entity_id"), "document_id", "entity_id").select("document_id", "entity_id")
-    derived = named.where("general").join(leading, "document_id").select("fact_id", "entity_id", F.lit("derived_fact").alias("method"))
-    return direct.select("fact_id", "entity_id", "method").unionByName(derived)
+    derived = named.where("general").join(leading, "document_id", "left")
+    derived = derived.select("fact_id", "entity_id", F.when(F.col("entity_id").isNotNull(), "anaphora").alias("method"), none.alias("score"), F.when(F.col("entity_id").isNull(), "anaphora_no_dominant_entity").alias("reason"))
+    return direct.drop("document_id").unionByName(derived)
+
+
+def aliases(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(entity_id, surface, normalized, match_method, score, source_fact_id): every spelling that led to an entity, with the first fact that has it."""
+    surface = F.trim("subject_raw")
+    rows = facts.select(F.col("id").alias("fact_id"), surface.alias("surface")).join(resolved.where("entity_id is not null"), "fact_id")
+    first = rows.groupBy("entity_id", "surface").agg(F.min_by(F.struct("method", "score", "fact_id"), "fact_id").alias("f"))
+    key = F.nullif(text.normalize_name(F.col("surface")), F.lit(""))
+    return first.select("entity_id", "surface", F.when(F.col("f.method") != "anaphora", key).alias("normalized"), F.regexp_replace(F.regexp_replace("f.method", "anaphora", "similarity"), "new_entity", "deterministic").alias("match_method"), "f.score", F.col("f.fact_id").alias("source_fact_id"))
+
+
+def new_entities(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(id, canonical_label, entity_type, normalization_key, resolution_method): the entities that resolution made, labelled by their first fact."""
+    made = resolved.where("method = 'new_entity'").groupBy("entity_id").agg(F.min("fact_id").alias("fact_id"))
+    rows = made.join(facts.select(F.col("id").alias("fact_id"), F.trim("subject_raw").alias("canonical_label")), "fact_id")
+    return rows.select(F.col("entity_id").alias("id"), "canonical_label", text.guess_type(F.col("canonical_label")).alias("entity_type"), text.normalize_name(F.col("canonical_label")).alias("normalization_key"), F.lit("deterministic").alias("resolution_method"))
+
+
+def rename_map(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(old_id, keep_id): entities that a fact says are the former name of its subject; a kept one that is itself renamed leads on."""
+    said = facts.where("subject_entity_id is not null and object_raw <> ''").where(text.is_rename(F.col("predicate"), F.col("predicate_norm")))
+    said = said.select(F.col("subject_entity_id").alias("keep_id"), text.normalize_name(F.col("object_raw")).alias("key")).where("key <> ''").distinct()
+    old = entities.select(F.col("id").alias("old_id"), text.normalize_name(F.col("canonical_label")).alias("key"))
+    pairs = said.join(old, "key").where("old_id <> keep_id").groupBy("old_id").agg(F.min("keep_id").alias("keep_id"))
+    onward = pairs.select(F.col("old_id").alias("keep_id"), F.col("keep_id").alias("next"))
+    return pairs.join(onward, "keep_id", "left").select("old_id", F.when(F.col("next") != F.col("old_id"), F.coalesce("next", "keep_id")).otherwise(F.coalesce(F.when(F.col("next").isNull(), F.col("keep_id")), F.least("old_id", "keep_id"))).alias("keep_id")).where("old_id <> keep_id")
 
 
 def renames(facts: DataFrame, rename_to: DataFrame) -> DataFrame:

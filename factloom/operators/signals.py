@@ -28,6 +28,7 @@ class Thresholds:
     contradiction: float = 0.15
 
 
+CATEGORIES = ["CORROBORATES", "CONTRADICTS", "DIFFERENT_CONTEXT", "TEMPORAL_EVOLUTION", "UNCERTAIN"]
 DISTINCT_PERIODS = ["adjacent", "disjoint", "same_year"]
 FACT_FIELDS = ["id", "document_id", "subject_entity_id", "predicate", "predicate_norm", "object_raw", "fact_type", "value_raw", "base_value", "currency", "is_percentage", "unit_raw", "reporting_period_start", "reporting_period_end", "reporting_period_type", "scope", "modality", "evidence_status"]
 
@@ -60,6 +61,8 @@ def numeric_signals(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Col
     unit, currency = relation(a["unit"], b["unit"]), relation(a["currency"], b["currency"])
     return {
         "numeric_comparable": comparable,
+        "base_value_abs_diff": F.when(comparable, diff),
+        "base_value_ratio": F.when(comparable, va / F.nullif(vb, F.lit(0.0))),
         "delta": F.when(comparable, F.when(largest == 0, F.lit(0.0)).otherwise(F.round(diff / F.nullif(largest, F.lit(0.0)), 6))),
         "sign_match": F.when(comparable, (va >= 0) == (vb >= 0)),
         "pct_vs_abs": pct,
@@ -74,9 +77,10 @@ def with_pair(pairs: DataFrame, facts: DataFrame, documents: DataFrame | None =
     rows = facts.select("id", F.struct(*FACT_FIELDS).alias("f"))
     out = pairs.join(rows.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(rows.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
     if documents is not None:
-        dates = documents.select(F.col("id"), F.col("publication_date").alias("d"))
+        has = lambda c: F.col(c) if c in documents.columns else F.lit(None)
+        dates = documents.select("id", F.coalesce(F.col("publication_date"), has("document_date").cast("date")).alias("d"), has("data_vintage").cast("string").alias("v"))
         for side in "ab":
-            out = out.join(dates.withColumnsRenamed({"id": f"doc_{side}", "d": f"published_{side}"}), F.col(f"f{side}.document_id") == F.col(f"doc_{side}"), "left")
+            out = out.join(dates.withColumnsRenamed({"id": f"doc_{side}", "d": f"published_{side}", "v": f"vintage_{side}"}), F.col(f"f{side}.document_id") == F.col(f"doc_{side}"), "left")
     return out
 
 
@@ -96,7 +100,7 @@ def signals(pairs: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
     comparable = ["ASSERTED", "HISTORICAL"]
     objects = (text.norm_object(F.col("fa.object_raw")) == text.norm_object(F.col("fb.object_raw"))) & (text.norm_object(F.col("fa.value_raw")) == text.norm_object(F.col("fb.value_raw")))
     made = {
-        "entity_relation": F.when(ea.isNull() | eb.isNull(), "missing").when(ea == eb, "same").otherwise("different"),
+        "entity_relation": F.when(ea.isNull() | eb.isNull(), "unresolved").when(ea == eb, "same").otherwise("different"),
         "period_relation": period_relation(a, b),
         "types_differ": a["fact_type"] != b["fact_type"],
         "both_numeric": (a["fact_type"] == "numeric") & (b["fact_type"] == "numeric"),
@@ -109,6 +113,19 @@ def signals(pairs: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
     }
     if "published_a" in pairs.columns:
         made["publication_gap_days"] = F.abs(F.date_diff("published_a", "published_b"))
+        made["vintage_differs"] = F.coalesce((F.col("vintage_a") != "") & (F.col("vintage_b") != "") & (F.col("vintage_a") != F.col("vintage_b")), F.lit(False))
+    for side in "ab":
+        f = lambda c: F.col(f"f{side}.{c}")  # noqa: B023, E731
+        made |= {f"subject_entity_id_{side}": f("subject_entity_id"), f"fact_type_{side}": f("fact_type"), f"modality_{side}": f("modality")}
+    made["same_document"] = F.col("fa.document_id") == F.col("fb.document_id")
+    made["modality_relation"] = F.when(F.col("fa.modality") == F.col("fb.modality"), "same").otherwise("different")
+    numeric = (a["fact_type"] == "numeric") | (b["fact_type"] == "numeric")
+    made["reasons"] = F.array_compact(F.array(
+        F.when(made["entity_relation"] == "unresolved", "one or both subjects are not resolved to an entity"),
+        F.when(numeric & ~F.coalesce(made["numeric_comparable"], F.lit(False)), "numeric comparison skipped (missing base_value or mixed fact types)"),
+        F.when(made["period_relation"] == "missing", "reporting period absent on at least one side"),
+        F.when(scope == "missing", "scope not described on both sides"),
+    ))
     return pairs.select("a", "b", "predicate_exact", "predicate_similarity", "predicate_jaccard", *[v.alias(k) for k, v in made.items()])
 
 
@@ -167,8 +184,8 @@ def confidence(category: Column, p: Thresholds = Thresholds(), proposed: Column
 def guard(proposal: Column, p: Thresholds = Thresholds()) -> Column:
     """struct<category, action>: a proposed category held against the signals."""
     c = F.col
-    period, delta = c("period_relation"), F.coalesce(c("delta"), F.lit(-1.0))
-    numeric, conflict = c("numeric_comparable"), F.size("scope_conflict") > 0
+    period, delta = c("period_relation"), F.coalesce(c("delta"), F.lit(0.0))
+    numeric, conflict = c("numeric_comparable") & c("unit_equivalent"), F.size("scope_conflict") > 0
     claim = proposal.isin("CONTRADICTS", "CORROBORATES")
     made = lambda category, action: F.struct(category.alias("category"), F.lit(action).alias("action"))
     lit = F.lit
@@ -178,22 +195,68 @@ def guard(proposal: Column, p: Thresholds = Thresholds()) -> Column:
         .when(claim & conflict, made(lit("DIFFERENT_CONTEXT"), "overridden"))
         .when((proposal == "CONTRADICTS") & period.isin(DISTINCT_PERIODS) & c("modality_comparable"), made(lit("TEMPORAL_EVOLUTION"), "overridden"))
         .when((proposal == "CONTRADICTS") & ~c("modality_comparable"), made(lit("DIFFERENT_CONTEXT"), "downgraded"))
-        .when((proposal == "CORROBORATES") & numeric & (delta > p.contradiction), made(lit("UNCERTAIN"), "downgraded"))
+        .when((proposal == "CORROBORATES") & c("numeric_comparable") & (delta > p.contradiction), made(lit("UNCERTAIN"), "downgraded"))
         .when(claim & period.isin("unknown", "missing"), made(lit("UNCERTAIN"), "downgraded"))
         .otherwise(made(proposal, "accepted"))
     )
 
 
+def usable(proposal: Column, conf: Column, why: Column | None = None, error: Column | None = None) -> Column:
+    """A proposed category if the proposal can be used, else null: a known category, a confidence of 0 to 1, a reason, no error."""
+    name = F.upper(F.trim(proposal))
+    ok = name.isin(CATEGORIES) & conf.between(0.0, 1.0)
+    if why is not None:
+        ok &= F.coalesce(F.trim(why), F.lit("")) != ""
+    if error is not None:
+        ok &= error.isNull()
+    return F.when(ok, name)
+
+
+def context_dimension(category: Column, given: Column, has_vintage: bool = True) -> Column:
+    """What a pair differs in: as the verdict gave it, else read from the signals."""
+    c = F.col
+    vintage = F.coalesce(c("vintage_differs"), F.lit(False)) if has_vintage else F.lit(False)
+    context = (
+        F.when(F.size("scope_conflict") > 0, F.concat(F.lit("scope:"), F.try_element_at("scope_conflict", F.lit(1)))).when(~c("modality_comparable"), "modality")
+        .when(vintage, "vintage").when(c("currency_relation") == "different", "currency").when(c("unit_relation") == "different", "units").otherwise("period")
+    )
+    return F.coalesce(given, F.when(category == "TEMPORAL_EVOLUTION", "time").when(category == "DIFFERENT_CONTEXT", context))
+
+
+def packet(pairs: DataFrame, evidence: DataFrame, signal_rows: DataFrame) -> DataFrame:
+    """(a, b, packet): both facts with their first quote and the signals, as one struct for a confirmer; ``pairs`` as ``with_pair`` gives them."""
+    quotes = evidence.groupBy("fact_id").agg(F.min_by("quote", "id").alias("quote"))
+    out = pairs
+    for side in "ab":
+        out = out.join(quotes.withColumnsRenamed({"fact_id": side, "quote": f"quote_{side}"}), side, "left")
+    said = ["predicate", "object_raw", "value_raw", "base_value", "unit_raw", "currency", "reporting_period_type", "scope", "modality", "evidence_status"]
+    fact = lambda s: F.struct(*[F.col(f"f{s}.{c}").alias(c) for c in said], F.col(f"quote_{s}").alias("evidence_quote"))
+    signal = signal_rows.select("a", "b", F.struct(*[c for c in signal_rows.columns if c not in ("a", "b")]).alias("signals"))
+    return out.join(signal, ["a", "b"]).select("a", "b", F.struct(fact("a").alias("fact_a"), fact("b").alias("fact_b"), "signals").alias("packet"))
+
+
+def guard_pairs(pairs: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of eligible facts, rejected pairs with ``reason``): both facts exist, are eligible, and are not unverified."""
+    state = facts.select("id", F.when((F.col("lifecycle_state") != "ELIGIBLE_FOR_REASONING") | ~F.coalesce("reasoning_eligible", F.lit(False)), "fact_not_eligible").when(F.col("evidence_status") == "UNVERIFIED", "fact_unverified").otherwise("").alias("fault"))
+    side = lambda s: state.withColumnsRenamed({"id": s, "fault": f"fault_{s}"})
+    judged = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    fault = F.coalesce(F.nullif(F.coalesce("fault_a", F.lit("unknown_fact")), F.lit("")), F.nullif(F.coalesce("fault_b", F.lit("unknown_fact")), F.lit("")))
+    judged = judged.withColumn("reason", fault).drop("fault_a", "fault_b")
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
 def reason(signal_rows: DataFrame, confirmer=None, p: Thresholds = Thresholds()) -> DataFrame:
-    """Verdicts with confidence. ``confirmer``: DataFrame of residual pairs -> (a, b, proposal, llm_confidence); without one they stay uncertain."""
+    """Verdicts with confidence. ``confirmer``: DataFrame of residual pairs -> (a, b, proposal, llm_confidence); without one, or where its proposal cannot be used, they stay uncertain."""
     rows = signal_rows.withColumn("v", verdict(p))
     if confirmer is not None:
-        said = confirmer(rows.where("v.category is null").drop("v")).select("a", "b", "proposal", "llm_confidence")
-        rows = rows.join(said, ["a", "b"], "left")
+        said = confirmer(rows.where("v.category is null").drop("v")).select("a", "b", F.col("proposal").alias("said"), "llm_confidence")
+        rows = rows.join(said, ["a", "b"], "left").withColumn("proposal", usable(F.col("said"), F.col("llm_confidence")))
+        rows = rows.withColumn("llm_confidence", F.when(F.col("proposal").isNotNull(), F.col("llm_confidence")))
     else:
         rows = rows.withColumns({"proposal": F.lit(None).cast("string"), "llm_confidence": F.lit(None).cast("double")})
     held = F.when(F.col("proposal").isNotNull(), guard(F.col("proposal"), p))
     category = F.coalesce("v.category", held["category"], F.lit("UNCERTAIN"))
     rows = rows.withColumns({"category": category, "validation_action": F.coalesce(held["action"], F.lit("not_applicable"))})
     code = F.when(F.col("v.category").isNull() & F.col("proposal").isNull(), "uncertain_no_llm").otherwise(F.col("v.code"))
-    return rows.select("a", "b", "category", F.col("v.dimension").alias("context_dimension"), code.alias("code"), "validation_action", confidence(F.col("category"), p, F.col("llm_confidence")).alias("confidence"))
+    dimension = context_dimension(F.col("category"), F.col("v.dimension"), "vintage_differs" in rows.columns)
+    return rows.select("a", "b", "category", dimension.alias("context_dimension"), code.alias("code"), F.col("proposal").isNotNull().alias("llm_used"), "validation_action", confidence(F.col("category"), p, F.col("llm_confidence")).alias("confidence"))

@@ -88,11 +88,18 @@ def test_verdict_grid(spark):
 def test_verification_ladder(spark):
     page = "Revenue was ₹8,142 crore in FY24. Costs fell. Costs fell. The board approved the plan on schedule."
     cases = {"₹8,142 crore": (12, 24, "exact"), "₹8,142  crore": (12, 24, "normalized_exact"), "Revenue was": (3, 9, "recovered_exact"), "Costs fell.": (0, 5, "ambiguous_quote_match"), "nothing": (0, 5, "quote_not_found"), "Revenue was ₹9,999 crore in FY24": (0, 5, "numeric_token_mismatch"), "The board aproved the plan on schedule": (0, 5, "fuzzy"), "A very different sentence altogether": (0, 5, "quote_not_found"), "": (0, 5, "quote_not_found"), None: (0, 5, "quote_not_found")}
-    evidence = spark.createDataFrame([(n, n, 1, 1, q, s, e) for n, (q, (s, e, _)) in enumerate(cases.items())] + [(99, 99, 7, 1, "x", 0, 1)], "id long, fact_id long, page_id long, chunk_id long, quote string, char_start int, char_end int")
-    pages = spark.createDataFrame([(1, page)], "id long, text string")
+    rows = [(n, n, 1, 1, 5, 0, q, s, e) for n, (q, (s, e, _)) in enumerate(cases.items())]
+    rows[0] = (0, 0, None, 1, 5, 0, *rows[0][6:])  # found by document and page index
+    evidence = spark.createDataFrame(rows + [(99, 99, 7, 1, 6, 0, "x", 0, 1)], "id long, fact_id long, page_id long, chunk_id long, document_id long, page_index int, quote string, char_start int, char_end int")
+    pages = spark.createDataFrame([(1, 5, 0, page)], "id long, document_id long, page_index int, text string")
     chunks = spark.createDataFrame([(1, 0, len(page), 0, page)], "id long, char_offset int, char_end int, header_prefix_len int, text string")
     got = {r.id: r.reason or r.method for r in grounding.verify(evidence, pages, chunks).collect()}
     assert got == {n: w for n, (_, _, w) in enumerate(cases.values())} | {99: "source_unavailable"}
+    number = lambda n, raw, value, **more: {"id": n, "fact_type": "numeric", "value_raw": raw, "numeric_value": value, "currency": None, "magnitude": None, "unit_raw": None, "is_percentage": False, "percentage_ratio": None} | more
+    facts = [number(0, "₹8,142 crore", 8142.0, currency="INR", magnitude="crore"), number(1, "₹8,142 crore", 8143.0), number(2, "8,142", 8142.0), number(100, "1", 1.0), number(6, None, None) | {"fact_type": "semantic"}]
+    facts = spark.createDataFrame([tuple(f.values()) for f in facts], "id long, fact_type string, value_raw string, numeric_value double, currency string, magnitude string, unit_raw string, is_percentage boolean, percentage_ratio double")
+    checked = {r.fact_id: r for r in grounding.verify(evidence, pages, chunks, facts).collect()}
+    assert {k: (checked[k].status, checked[k].rederivation, checked[k].reason) for k in (0, 1, 2, 100, 6)} == {0: ("VERIFIED", "success", None), 1: ("UNVERIFIED", "failed", "numeric_mismatch"), 2: ("UNVERIFIED", "failed", "numeric_mismatch"), 100: ("UNVERIFIED", "not_applicable", "unsupported_evidence"), 6: ("PARTIAL", "not_applicable", None)}
 
 
 @pytest.mark.parametrize(("target", "overlap", "backoff"), [(40, 10, 8), (200, 40, 30)])
@@ -137,10 +144,18 @@ def test_binary_pages(spark, tmp_path):
 
 
 def test_resolution(spark):
-    facts = spark.createDataFrame([(1, 1, "Acme Corp.", None), (2, 1, "the Company", None), (3, 1, "Acme Limited", None), (4, 2, "Brand New Ltd", None), (5, 2, "Brand New", None), (6, 3, "Holdings Group", None), (7, 4, "Acme Hydro Powers", None)], "id long, document_id long, subject_raw string, subject_entity_id long")
-    entities = spark.createDataFrame([(10, "ACME Ltd"), (11, "Acme"), (12, "Acme Hydro Power")], "id long, canonical_label string")
-    got = {r.fact_id: (r.entity_id, r.method) for r in resolve.resolve(facts, entities).collect()}
-    assert got == {1: (10, "deterministic"), 2: (10, "derived_fact"), 3: (10, "deterministic"), 4: (-4, "new_entity"), 5: (-4, "new_entity"), 7: (12, "similarity")}
+    facts = spark.createDataFrame([(1, 1, "Acme Corp.", None), (2, 1, "the Company", None), (3, 1, "Acme Limited", None), (4, 2, "Brand New Ltd", None), (5, 2, "Brand New", None), (6, 3, "Holdings Group", None), (7, 4, "Zenith Hydro Powers", None), (8, 4, "Tavra Consultancy", None), (9, 5, "the Company", None)], "id long, document_id long, subject_raw string, subject_entity_id long")
+    entities = spark.createDataFrame([(10, "ACME Ltd"), (11, "Acme"), (12, "Zenith Hydro Power"), (13, "Tavra Consultancy Services")], "id long, canonical_label string")
+    done = resolve.resolve(facts, entities)
+    got = {r.fact_id: (r.entity_id, r.method or r.reason) for r in done.collect()}
+    want = {1: (10, "deterministic"), 2: (10, "anaphora"), 3: (10, "deterministic"), 4: (-4, "new_entity"), 5: (-4, "new_entity"), 6: (None, "empty_key"), 7: (12, "similarity"), 8: (None, "similar_unconfirmed"), 9: (None, "anaphora_no_dominant_entity")}
+    assert got == want
+    asked = resolve.resolve(facts, entities, confirmer=lambda d: d.select("key", F.lit(True).alias("same"), F.lit(0.9).alias("confidence")))
+    assert {r.fact_id: (r.entity_id, r.method or r.reason) for r in asked.collect()} == want | {8: (13, "llm")}
+    assert {(r.entity_id, r.surface) for r in resolve.aliases(facts, done).collect()} == {(10, "Acme Corp."), (10, "the Company"), (10, "Acme Limited"), (-4, "Brand New Ltd"), (-4, "Brand New"), (12, "Zenith Hydro Powers")}
+    assert [(r.id, r.canonical_label, r.normalization_key) for r in resolve.new_entities(facts, done).collect()] == [(-4, "Brand New Ltd", "brand new")]
+    said = spark.createDataFrame([(1, 10, "formerly known as", None, "Zenith Hydro Power Ltd"), (2, 10, "revenue", None, "Acme")], "id long, subject_entity_id long, predicate string, predicate_norm string, object_raw string")
+    assert [tuple(r) for r in resolve.rename_map(said, entities).collect()] == [(12, 10)]
 
 
 def test_error_runs_budget_and_views(spark):
