@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, periods, text
-from factloom.operators import candidates, grounding, resolve, retrieval, signals, stages, views
+from factloom.operators import candidates, grounding, records, resolve, retrieval, signals, stages, views
 from factloom.sources import ingest
-from factloom.tables import table
+from factloom.tables import cut, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -315,14 +315,17 @@ cross join (select unnest([0.0, 0.01, 0.1, 0.5]) delta) cross join (select unnes
 @query(f"""select proposal, entity_relation, period_relation, delta::double as delta, conflict, modality_comparable, sign_match,
   case when entity_relation <> 'same' then 'UNCERTAIN' when proposal = 'CONTRADICTS' and delta <= 0.02 and period_relation = 'equal' and not conflict and sign_match then 'CORROBORATES' when proposal in ('CONTRADICTS', 'CORROBORATES') and conflict then 'DIFFERENT_CONTEXT'
   when proposal = 'CONTRADICTS' and period_relation = 'adjacent' and modality_comparable then 'TEMPORAL_EVOLUTION' when proposal = 'CONTRADICTS' and not modality_comparable then 'DIFFERENT_CONTEXT' when proposal = 'CORROBORATES' and delta > 0.15 then 'UNCERTAIN'
-  when proposal in ('CONTRADICTS', 'CORROBORATES') and period_relation = 'unknown' then 'UNCERTAIN' else proposal end as category from {GRID}""")
+  when proposal in ('CONTRADICTS', 'CORROBORATES') and period_relation = 'unknown' then 'UNCERTAIN' else proposal end as category,
+  case when entity_relation <> 'same' then 'downgraded' when proposal = 'CONTRADICTS' and delta <= 0.02 and period_relation = 'equal' and not conflict and sign_match then 'overridden' when proposal in ('CONTRADICTS', 'CORROBORATES') and conflict then 'overridden'
+  when proposal = 'CONTRADICTS' and period_relation = 'adjacent' and modality_comparable then 'overridden' when proposal = 'CONTRADICTS' and not modality_comparable then 'downgraded' when proposal = 'CORROBORATES' and delta > 0.15 then 'downgraded'
+  when proposal in ('CONTRADICTS', 'CORROBORATES') and period_relation = 'unknown' then 'downgraded' else 'accepted' end as action from {GRID}""")
 def llm_guard_matrix(spark, d):
     values = {"proposal": ["CORROBORATES", "CONTRADICTS", "DIFFERENT_CONTEXT", "UNCERTAIN"], "entity_relation": ["same", "different"], "period_relation": ["equal", "adjacent", "unknown", "contains"], "delta": [0.0, 0.01, 0.1, 0.5], "conflict": [True, False], "modality_comparable": [True, False], "sign_match": [True, False]}
     rows = spark.range(1)
     for k, v in values.items():
         rows = rows.withColumn(k, F.explode(F.array(*map(F.lit, v))))
-    rows = rows.withColumns({"numeric_comparable": F.lit(True), "scope_conflict": F.when(F.col("conflict"), F.array(F.lit("basis"))).otherwise(F.array().cast("array<string>"))})
-    return rows.select(*values, signals.guard(F.col("proposal"))["category"].alias("category"))
+    rows = rows.withColumns({"numeric_comparable": F.lit(True), "unit_equivalent": F.lit(True), "scope_conflict": F.when(F.col("conflict"), F.array(F.lit("basis"))).otherwise(F.array().cast("array<string>"))})
+    return rows.select(*values, signals.guard(F.col("proposal"))["category"].alias("category"), signals.guard(F.col("proposal"))["action"].alias("action"))
 
 
 @query("""select least(fact_a_id, fact_b_id) as a, greatest(fact_a_id, fact_b_id) as b, min(id) as id, arg_min(coalesce(category, '~'), id) as category, count(*) as n_rows from relationships where fact_a_id <> fact_b_id group by 1, 2""")
@@ -509,28 +512,153 @@ def entity_search(spark, d):
     return by_name.union(facts.join(labelled, "subject_entity_id", "left_semi").select(F.col("id").alias("fact_id"), "subject_raw")).distinct()
 
 
-@query()
+@query("""with e as (select fact_id, arg_min(quote, id) quote, arg_min(coalesce(verification_method, ''), id) verification_method from evidence group by 1), p as (select document_id, page_index, arg_min(printed_label, id) filter (printed_label is not null) printed_label from pages group by all)
+select f.id, coalesce(s.title, s.original_filename) as document_title, p.printed_label, n.canonical_label as entity_label, case when f.fact_type = 'numeric' then f.value_raw end as value_raw, f.reporting_period_start as period_start, e.quote, e.verification_method, f.extraction_model
+from facts f left join e on e.fact_id = f.id left join entities n on n.id = f.subject_entity_id left join source_files s on s.id = f.document_id left join p on p.document_id = f.document_id and p.page_index = f.page_index""")
 def facts_out(spark, d):
-    return views.facts_out(table(spark, d, "facts"), table(spark, d, "evidence"), table(spark, d, "entities"))
+    names = ("facts", "evidence", "entities", "source_files", "pages")
+    rows = views.facts_out(*(table(spark, d, n) for n in names))
+    return rows.select("id", F.col("document.title").alias("document_title"), "printed_label", F.col("entity.canonical_label").alias("entity_label"), F.col("numeric.value_raw").alias("value_raw"), F.col("reporting_period.start").alias("period_start"), F.col("evidence.quote").alias("quote"), F.when(F.col("evidence").isNotNull(), F.coalesce("evidence.verification_method", F.lit(""))).alias("verification_method"), F.col("repro.extraction_model").alias("extraction_model"))
+
+
+@query(f"""select r.id as relationship_id, case category when 'CORROBORATES' then 'Corroborates' when 'CONTRADICTS' then 'Contradicts' when 'DIFFERENT_CONTEXT' then 'Different context' when 'TEMPORAL_EVOLUTION' then 'Temporal evolution' when 'UNCERTAIN' then 'Uncertain' end as category_label,
+  a.predicate as predicate_a, b.predicate as predicate_b {PAIR} where category in ('CONTRADICTS', 'UNCERTAIN') and confidence >= 0.3 order by confidence desc nulls last, r.id desc limit 200""")
+def relationships_out(spark, d):
+    rel = table(spark, d, "relationships").where("category in ('CONTRADICTS', 'UNCERTAIN')")
+    page = views.page_of(views.relationship_filter(rel, least=0.3), [F.desc_nulls_last("confidence"), F.desc("id")], 200)
+    rows = views.relationships_out(page, table(spark, d, "facts").select("id", "predicate"))
+    return rows.select(F.col("id").alias("relationship_id"), "category_label", F.col("fact_a.predicate").alias("predicate_a"), F.col("fact_b.predicate").alias("predicate_b"))
+
+
+@query("""with p as (select document_id, count(*) n from pages group by 1), f as (select document_id, count(*) n, count(*) filter (evidence_status = 'UNVERIFIED') u, count(*) filter (lifecycle_state = 'QUARANTINED') q, count(*) filter (lifecycle_state = 'ELIGIBLE_FOR_REASONING') e from facts group by 1),
+t as (select distinct f.document_id, r.id, coalesce(r.category, '') category from relationships r join facts f on f.id in (r.fact_a_id, r.fact_b_id)), c as (select document_id, category, count(*) n from t group by all), k as (select document_id, sum(n) n, string_agg(category || '=' || n, ',' order by category) mix from c group by 1)
+select s.id as document_id, s.status, coalesce(p.n, 0) as pages, coalesce(f.n, 0) as facts, coalesce(f.u, 0) as facts_unverified, coalesce(f.q, 0) as facts_quarantined, coalesce(f.e, 0) as eligible_facts, coalesce(k.n, 0)::bigint as relationships, coalesce(k.mix, '') as mix
+from source_files s left join p on p.document_id = s.id left join f on f.document_id = s.id left join k on k.document_id = s.id""")
+def documents_out(spark, d):
+    rows = views.documents_out(*(table(spark, d, n) for n in ("source_files", "pages", "facts", "relationships")))
+    mix = F.array_join(F.transform(F.map_entries("by_category"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("document_id", "status", "pages", "facts", "facts_unverified", "facts_quarantined", "eligible_facts", "relationships", mix.alias("mix"))
+
+
+RUNS_SQL = "select document_id, run_id as id, case when right(run_id::varchar, 1) in ('0', '3', '6', '9') then 'full' else 'extract' end as run_type, count(*) as n_facts from facts where run_id is not null group by all"
+
+
+@query(f"""with r as ({RUNS_SQL}), t as (select *, row_number() over (partition by document_id order by run_type = 'full' desc, id desc) k from r)
+select s.id as document_id, s.status, t.id as run_id, t.run_type from source_files s left join t on t.document_id = s.id and k = 1""")
+def status_out(spark, d):
+    kind = F.when(F.right(F.col("run_id").cast("string"), F.lit(1)).isin("0", "3", "6", "9"), "full").otherwise("extract")
+    runs = table(spark, d, "facts").where("run_id is not null").groupBy("document_id", F.col("run_id").alias("id"), kind.alias("run_type")).agg(F.count("*").alias("n_facts"))
+    return views.status_out(table(spark, d, "source_files"), runs).select("document_id", "status", F.col("run.id").alias("run_id"), F.col("run.run_type").alias("run_type"))
+
+
+@query("select e.id as entity_id, e.canonical_label, e.entity_type, coalesce(f.n, 0) as fact_count, coalesce(a.n, 0) as alias_count from entities e left join (select subject_entity_id i, count(*) n from facts group by 1) f on f.i = e.id left join (select subject_entity_id i, count(distinct trim(subject_raw)) n from facts group by 1) a on a.i = e.id where e.entity_type = 'org' and e.canonical_label ilike '%power%'")
+def entities_out(spark, d):
+    facts = table(spark, d, "facts")
+    names = facts.where("subject_entity_id is not null and subject_raw is not null").select(F.col("subject_entity_id").alias("entity_id"), F.trim("subject_raw").alias("surface")).distinct()
+    rows = views.entities_out(table(spark, d, "entities"), facts, names).where((F.col("entity_type") == "org") & views.contains(F.col("canonical_label"), "power"))
+    return rows.select(F.col("id").alias("entity_id"), "canonical_label", "entity_type", "fact_count", "alias_count")
+
+
+@query("""select 'documents' as measure, count(*) as n from source_files union all select 'facts', count(*) from facts union all select 'eligible facts', count(*) from facts where reasoning_eligible union all select 'entities', count(*) from entities
+union all select 'relationships', count(*) from relationships union all select coalesce(category, 'none'), count(*) from relationships group by 1""")
+def overview(spark, d):
+    return views.overview(*(table(spark, d, n) for n in ("source_files", "facts", "relationships", "entities")))
+
+
+@query("""with f as (select f.*, s.id is null no_file, p.document_id is null no_page from facts f left join source_files s on s.id = f.document_id left join (select distinct document_id, page_index from pages) p on p.document_id = f.document_id and p.page_index = f.page_index)
+select id, case when no_file then 'unknown_document' when no_page then 'page_not_in_document' when fact_type is null or fact_type not in ('numeric', 'semantic', 'temporal', 'categorical') then 'invalid_fact_type'
+  when modality not in ('ASSERTED', 'HISTORICAL', 'ESTIMATED', 'FORECAST', 'TARGET', 'UNCERTAIN') then 'invalid_modality' when fact_type = 'numeric' and value_raw is null and numeric_value is null then 'numeric_missing_value' end as fault from f""")
+def fact_faults(spark, d):
+    return records.fact_faults(*(table(spark, d, n) for n in ("facts", "source_files", "pages")))
+
+
+@query("""with p as (select document_id, page_index, min(id) id, arg_min(length(text), id) n from pages group by 1, 2),
+e as (select e.*, row_number() over (partition by fact_id order by id) rank from evidence e)
+select e.id, case when f.id is null then 'unknown_fact' when rank > 1 then 'evidence_exists' when f.document_id <> e.document_id then 'evidence_document_mismatch' when p.id is null then 'page_not_in_document' when e.page_id <> p.id then 'page_id_mismatch'
+  when e.chunk_id is not null and c.id is null then 'unknown_chunk' when e.chunk_id is not null and not (c.document_id = e.document_id and c.page_index = e.page_index) then 'chunk_not_in_page'
+  when not (e.char_start is null and e.char_end is null or coalesce(e.char_start >= 0 and e.char_start < e.char_end and e.char_end <= p.n, false)) then 'invalid_offsets' end as fault
+from e left join facts f on f.id = e.fact_id left join p on p.document_id = e.document_id and p.page_index = e.page_index left join chunks c on c.id = e.chunk_id""")
+def evidence_faults(spark, d):
+    return records.evidence_faults(*(table(spark, d, n) for n in ("evidence", "facts", "pages", "chunks")))
+
+
+@query("""with r as (select r.id, least(fact_a_id, fact_b_id) a, greatest(fact_a_id, fact_b_id) b from relationships r)
+select r.id, case when r.a = r.b then 'self_relationship' when x.id is null or y.id is null then 'unknown_fact' when not (coalesce(x.reasoning_eligible, false) and coalesce(y.reasoning_eligible, false)) then 'not_reasoning_eligible' end as fault
+from r left join facts x on x.id = r.a left join facts y on y.id = r.b""")
+def relationship_faults(spark, d):
+    return records.relationship_faults(table(spark, d, "relationships").select("id", "fact_a_id", "fact_b_id"), table(spark, d, "facts")).select("id", "fault")
+
+
+@query("""with r as (select id, least(fact_a_id, fact_b_id) a, greatest(fact_a_id, fact_b_id) b from relationships),
+s as (select id, case when lifecycle_state <> 'ELIGIBLE_FOR_REASONING' or not coalesce(reasoning_eligible, false) then 'fact_not_eligible' when evidence_status = 'UNVERIFIED' then 'fact_unverified' else '' end f from facts)
+select r.id, coalesce(nullif(coalesce(x.f, 'unknown_fact'), ''), nullif(coalesce(y.f, 'unknown_fact'), '')) as reason from r left join s x on x.id = r.a left join s y on y.id = r.b where x.f <> '' or y.f <> '' or x.f is null or y.f is null""")
+def pair_guard(spark, d):
+    pairs = table(spark, d, "relationships").select("id", F.least("fact_a_id", "fact_b_id").alias("a"), F.greatest("fact_a_id", "fact_b_id").alias("b"))
+    return signals.guard_pairs(pairs, table(spark, d, "facts"))[1].select("id", "reason")
+
+
+@query("""with e as (select fact_id, arg_min(document_id, id) document_id, arg_min(page_index, id) page_index, arg_min(coalesce(chunk_id, -1), id) chunk_id from evidence group by 1),
+c as (select e.fact_id from e join (select distinct document_id, page_index from pages) p using (document_id, page_index) join source_files s on s.id = e.document_id left join chunks k on k.id = e.chunk_id and k.document_id = e.document_id and k.page_index = e.page_index where e.chunk_id = -1 or k.id is not null)
+select f.id, case when lifecycle_state = 'QUARANTINED' then 'fact_quarantined' when c.fact_id is null then 'evidence_required' when coalesce(evidence_status, '') not in ('VERIFIED', 'PARTIAL') then 'evidence_unverified' end as fault,
+  case when lifecycle_state in ('NORMALIZED', 'ELIGIBLE_FOR_REASONING') and c.fact_id is not null and evidence_status in ('VERIFIED', 'PARTIAL') then 'ELIGIBLE_FOR_REASONING' else lifecycle_state end as lifecycle_state from facts f left join c on c.fact_id = f.id""")
+def promotion(spark, d):
+    facts, evidence, files, pages, chunks = (table(spark, d, n) for n in ("facts", "evidence", "source_files", "pages", "chunks"))
+    done = records.promote(facts, records.chains(facts, evidence, files, pages, chunks))
+    return done.select("id", F.col("promotion_fault").alias("fault"), "lifecycle_state")
+
+
+@query("""with g as (select unnest(['TEMPORAL_EVOLUTION', 'DIFFERENT_CONTEXT', 'CORROBORATES']) category, unnest([1, 2, 3])), d as (select r.id, a.modality in ('ASSERTED', 'HISTORICAL') and b.modality in ('ASSERTED', 'HISTORICAL') comparable, """ + REL.format("a.currency", "b.currency") + """ c, """ + REL.format("a.unit_raw", "b.unit_raw") + """ u,
+  list_sort(list_filter(list_intersect(map_keys(a.scope), map_keys(b.scope)), lambda q: lower(trim(a.scope[q])) <> lower(trim(b.scope[q])))) k """ + PAIR + """)
+select d.id, g.category, case g.category when 'TEMPORAL_EVOLUTION' then 'time' when 'DIFFERENT_CONTEXT' then case when len(k) > 0 then 'scope:' || k[1] when not comparable then 'modality' when c = 'different' then 'currency' when u = 'different' then 'units' else 'period' end end as dimension from d cross join g""")
+def context_dimension(spark, d):
+    rows = signals.with_pair(_pairs(spark, d), table(spark, d, "facts"))
+    _, conflict = signals.scope_relation(F.col("fa.scope"), F.col("fb.scope"))
+    known = ["ASSERTED", "HISTORICAL"]
+    rows = rows.select("relationship_id", conflict.alias("scope_conflict"), (F.col("fa.modality").isin(known) & F.col("fb.modality").isin(known)).alias("modality_comparable"), signals.relation(F.col("fa.currency"), F.col("fb.currency")).alias("currency_relation"), signals.relation(F.col("fa.unit_raw"), F.col("fb.unit_raw")).alias("unit_relation"))
+    rows = rows.withColumn("category", F.explode(F.array(*map(F.lit, ("TEMPORAL_EVOLUTION", "DIFFERENT_CONTEXT", "CORROBORATES")))))
+    return rows.select(F.col("relationship_id").alias("id"), "category", signals.context_dimension(F.col("category"), F.lit(None).cast("string"), False).alias("dimension"))
+
+
+@query()
+def pipeline_failures(spark, d):
+    """The pipeline over the stored facts: failures by type and reason."""
+    names = ("source_files", "pages", "chunks", "entities", "facts", "evidence")
+    files, pages, chunks, entities, facts, evidence = (table(spark, d, n) for n in names)
+    facts = facts.withColumn("percentage_ratio", F.lit(None).cast("double"))
+    return stages.run(files, pages, chunks, entities, facts, evidence).failures.groupBy("failure_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def sweep_verdicts(spark, d):
+    return stages.sweep(table(spark, d, "facts"), table(spark, d, "source_files"), stages.SWEEP)
+
+
+@query()
+def retrieval_summary(spark, d):
+    facts, files = table(spark, d, "facts"), table(spark, d, "source_files")
+    pairs = cut(retrieval.candidate_pairs(facts))
+    made = signals.signals(signals.with_pair(pairs.select("a", "b"), facts, files))
+    return retrieval.retrieval_summary(pairs, made, facts)
 
 
-@query(r"""with b as (select e.id, coalesce(e.quote, '') q, e.char_start s, e.char_end z, p.text t, c.char_offset o, coalesce(c.char_end, c.char_offset + length(c.text) - coalesce(c.header_prefix_len, 0)) k from evidence e left join pages p on p.id = e.page_id left join chunks c on c.id = e.chunk_id),
+@query(r"""with p as (select e.id, e.fact_id, coalesce(e.quote, '') q, e.char_start s, e.char_end z, coalesce(p.text, w.text) t, e.chunk_id from evidence e left join pages p on p.id = e.page_id left join pages w on w.document_id = e.document_id and w.page_index = e.page_index),
+b as (select p.*, c.char_offset o, coalesce(c.char_end, c.char_offset + length(c.text) - coalesce(c.header_prefix_len, 0)) k from p left join chunks c on c.id = p.chunk_id),
 n as (select *, coalesce(o >= 0 and o < k and k <= length(t), false) ok from b), m as (select *, case when ok then substring(t, o + 1, k - o) else t end span, case when ok then o else 0 end base from n),
-x as (select *, instr(span, q) pos from m), y as (select *, case when pos > 0 then instr(substring(span, pos + 1), q) else 0 end again, case when s >= 0 and s < z and z <= length(t) then substring(t, s + 1, z - s) end piece from x)
-select id, case when coalesce(t, '') = '' then 'source_unavailable' when q <> '' and piece = q then 'exact' when q <> '' and pos > 0 and again = 0 then 'occurs_once' when q <> '' and pos > 0 then 'ambiguous' else 'absent' end as rung from y""")
+x as (select *, instr(span, q) pos, case when s >= 0 and s < z and z <= length(t) then substring(t, s + 1, z - s) end piece from m), y as (select *, case when pos > 0 then instr(substring(span, pos + 1), q) else 0 end again,
+  trim(regexp_replace(translate(q, '‘’‚‛“”„‟‐‑‒–—―−', '''''''''""' || '""-------'), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) fq, trim(regexp_replace(translate(piece, '‘’‚‛“”„‟‐‑‒–—―−', '''''''''""' || '""-------'), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) fp from x)
+select id, case when coalesce(t, '') = '' then 'source_unavailable' when q <> '' and piece = q then 'exact' when q <> '' and fp = fq then 'normalized_exact' when q <> '' and pos > 0 and again = 0 then 'recovered_exact' when q <> '' and pos > 0 then 'ambiguous_quote_match' when length(trim(q)) < 12 then 'too_short' else 'later' end as rung,
+  case when coalesce(t, '') = '' then null when q <> '' and piece = q or q <> '' and fp = fq then s when q <> '' and pos > 0 and again = 0 then base + pos - 1 end as char_start from y""")
 def quote_rungs(spark, d):
-    rows = grounding.sources(table(spark, d, "evidence"), table(spark, d, "pages"), table(spark, d, "chunks"))
-    q = "coalesce(quote, '')"
-    piece = F.expr("case when char_start >= 0 and char_start < char_end and char_end <= length(page_text) then substring(page_text, char_start + 1, char_end - char_start) end")
-    at, again = F.expr(f"locate({q}, span)"), F.expr(f"locate({q}, span, locate({q}, span) + 1)")
-    quote = F.coalesce("quote", F.lit(""))
-    rung = F.when(F.coalesce("page_text", F.lit("")) == "", "source_unavailable").when((quote != "") & (piece == quote), "exact").when((quote != "") & (at > 0) & (again == 0), "occurs_once").when((quote != "") & (at > 0), "ambiguous").otherwise("absent")
-    return rows.select("id", rung.alias("rung"))
+    rows = grounding.ladder(grounding.sources(table(spark, d, "evidence"), table(spark, d, "pages"), table(spark, d, "chunks")))
+    early = F.when(F.col("_v.reason").isin("source_unavailable", "ambiguous_quote_match"), F.col("_v.reason")).when(F.col("_v.status") == "VERIFIED", F.col("_v.method"))
+    rung = F.coalesce(early, F.when(F.length(F.trim(F.coalesce("quote", F.lit("")))) < 12, "too_short").otherwise("later"))
+    return rows.select("id", rung.alias("rung"), F.col("_v.char_start").alias("char_start"))
 
 
 @query()
 def quote_ground(spark, d):
-    return grounding.verify(table(spark, d, "evidence"), table(spark, d, "pages"), table(spark, d, "chunks"))
+    facts = table(spark, d, "facts").withColumn("percentage_ratio", F.lit(None).cast("double"))
+    return grounding.verify(*(table(spark, d, n) for n in ("evidence", "pages", "chunks")), facts)
 
 
 @query()
