@@ -282,7 +282,7 @@ def sweep(facts: DataFrame, files: DataFrame, configs: dict[str, dict]) -> DataF
         changes = dict(changes)
         least = changes.pop("confidence", 0.5)
         p = signals.Thresholds(**changes)
-        key = (p.top_k, p.candidate, p.predicate)
+        key = (p.top_k, p.candidate)
         if key not in cached:
             pairs, _ = signals.guard_pairs(retrieval.candidate_pairs(facts, p), facts)
             cached[key] = cut(signals.signals(signals.with_pair(pairs.select("a", "b"), facts, files), p))

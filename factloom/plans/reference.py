@@ -257,7 +257,7 @@ REL = "case when coalesce(trim({0}), '') = '' or coalesce(trim({1}), '') = '' th
 
 @query(f"""with p as (select r.id relationship_id, a.base_value va, b.base_value vb, a.fact_type = 'numeric' and b.fact_type = 'numeric' and a.base_value is not null and b.base_value is not null comparable,
   coalesce(a.is_percentage, false) <> coalesce(b.is_percentage, false) pct, {REL.format("a.unit_raw", "b.unit_raw")} u, {REL.format("a.currency", "b.currency")} c {PAIR})
-select relationship_id, comparable as numeric_comparable, case when comparable then case when greatest(abs(va), abs(vb)) = 0 then 0.0::double else round(abs(va - vb) / greatest(abs(va), abs(vb)), 6) end end as delta,
+select relationship_id, comparable as numeric_comparable, case when comparable then abs(va - vb) end as base_value_abs_diff, case when comparable then va / nullif(vb, 0) end as base_value_ratio, case when comparable then case when greatest(abs(va), abs(vb)) = 0 then 0.0::double else round(abs(va - vb) / greatest(abs(va), abs(vb)), 6) end end as delta,
   case when comparable then (va >= 0) = (vb >= 0) end as sign_match, pct as pct_vs_abs, u as unit_relation, c as currency_relation, not pct and u <> 'different' and c <> 'different' as unit_equivalent from p""")
 def numeric_signals(spark, d):
     side = lambda s: {"base": F.col(f"{s}.base_value"), "is_pct": F.col(f"{s}.is_percentage"), "unit": F.col(f"{s}.unit_raw"), "currency": F.col(f"{s}.currency"), "fact_type": F.col(f"{s}.fact_type")}

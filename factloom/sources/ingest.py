@@ -68,25 +68,25 @@ def printed_label(text: Column, pages: Column) -> Column:
     return F.when(last[0].isNotNull(), ok(last[0])).when(last[1].isNotNull(), last[1]).when(first[0].isNotNull(), ok(first[0])).otherwise(first[1])
 
 
-def chunk_spans(text: Column, target: int = 1200, overlap: int = 150, backoff: int = 200) -> Column:
-    """array<struct<start, stop>>: overlapping windows over a text, cut behind the last blank or line feed within ``backoff`` of the limit."""
-    n = F.length(text)
-    step = target - overlap - backoff
-    turns = F.sequence(F.lit(0), F.greatest(F.ceil(n / step).cast("int"), F.lit(0)) + 1)
-    kind = "struct<at:int,spans:array<struct<start:int,stop:int>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")).cast(kind)
-
-    def turn(acc, _):
-        at = acc["at"]
+def _spans(text: str, target: int, overlap: int, backoff: int) -> list[dict]:
+    out, at, n = [], 0, len(text)
+    while at < n:
         hard = at + target
-        tail = F.substring(text, hard - backoff + 1, F.lit(backoff))
-        kept = F.length(F.regexp_replace(tail, r"[^ \n]*\z", ""))
-        stop = F.when(hard >= n, n).when(kept > 0, hard - backoff + kept).otherwise(hard)
-        after = F.when(hard >= n, F.lit(-1)).when(stop - overlap > at, stop - overlap).otherwise(at + target - overlap)
-        grown = F.struct(after.cast("int").alias("at"), F.array_append(acc["spans"], F.struct(at.alias("start"), stop.cast("int").alias("stop"))).alias("spans")).cast(kind)
-        return F.when((at < 0) | (n == 0), acc).otherwise(grown)
+        kept = max(text.rfind(" ", hard - backoff, hard), text.rfind("\n", hard - backoff, hard)) + 1 if hard < n else 0
+        stop = n if hard >= n else kept or hard
+        out.append({"start": at, "stop": stop})
+        at = n if stop == n else stop - overlap if stop - overlap > at else at + target - overlap
+    return out
+
+
+def chunk_spans(text: Column, target: int = 1200, overlap: int = 150, backoff: int = 200) -> Column:
+    """array<struct<start, stop>>: overlapping windows over a text, cut behind the last blank or line feed within ``backoff`` of the limit; one pass over each text, in Arrow batches."""
 
-    return F.aggregate(turns, begin, turn, lambda acc: acc["spans"])
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else _spans(t, target, overlap, backoff))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<start:int,stop:int>>")(text)
 
 
 def display_name(name: Column) -> Column:
@@ -95,8 +95,16 @@ def display_name(name: Column) -> Column:
 
 
 def json_specs(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Case specifications out of JSON files of all folders below ``path``; names that the schema does not know are kept as corrupt."""
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    """Case specifications out of JSON files of all folders below ``path``.
+
+    A file that does not fit the schema, or names a field that the schema does not know, is an error.
+    """
+    read = lambda s: spark.read.schema(s).option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "FAILFAST").json(path) if s is not None else spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").json(path)
+    rows = read(schema)
+    unknown = sorted(set(read(None).columns) - set(rows.columns))
+    if unknown:
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
+    return rows
 
 
 def write_stage(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "append") -> None:

@@ -13,11 +13,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one is set only where none is named."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session gets a temporary one; on a cluster that is an error, since no folder of one
+    machine is seen by the others.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
