@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -125,9 +126,10 @@ def encode(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, sizes_o
     keys, also null ones, come out as often as they went in; other columns are not read. Nothing is shuffled.
     """
     kind = docs.schema[key].dataType.simpleString()
+    docs.sparkSession.sparkContext.addFile(path)  # executors need no copy of their own
 
     def run(batches):
-        table = pairs_of(path)
+        table = pairs_of(SparkFiles.get(Path(path).name))
         for whole in batches:
             for batch in _blocks(whole):
                 ids, counts = table.encode(batch.column(1).to_pylist())
