@@ -120,8 +120,8 @@ def _tries() -> tuple[Trie, Trie, Trie]:
 _TRIES: list = []
 
 
-def segment(text: str, keep: int = 8) -> list[tuple[float, float | None, tuple | None]]:
-    """(cost, scale, root) of the cheapest decompositions of a unit string; root: (dimension, unit, factor) or None."""
+def segment(text: str) -> list[tuple[float, float | None, tuple | None]]:
+    """(cost, scale, root) of all decompositions of a unit string, the cheapest of each kind, cheapest first; root: (dimension, unit, factor) or None."""
     if not _TRIES:
         _TRIES.extend(_tries())
     first, roots, exponents = _TRIES
@@ -136,7 +136,7 @@ def segment(text: str, keep: int = 8) -> list[tuple[float, float | None, tuple |
             best[at][state] = cost
 
     for at in range(n):
-        for (scale, root, prefix, power), cost in sorted(best[at].items(), key=lambda x: x[1])[:32]:
+        for (scale, root, prefix, power), cost in sorted(best[at].items(), key=lambda x: x[1]):
             begins = not letter(at - 1) or not letter(at)
             if not text[at].isalnum() and text[at] not in "₹$€£%‰²³'^":
                 if prefix is None:
@@ -181,7 +181,7 @@ def segment(text: str, keep: int = 8) -> list[tuple[float, float | None, tuple |
     for (scale, root, prefix, power), cost in best[n].items():
         if prefix is None and power is None:
             out[(scale, root)] = min(cost, out.get((scale, root), math.inf))
-    return [(c, *k) for k, c in sorted(out.items(), key=lambda x: (x[1], str(x[0])))[:keep]]
+    return [(c, *k) for k, c in sorted(out.items(), key=lambda x: (x[1], str(x[0])))]
 
 
 def decompose(fields: list[str]) -> list[tuple[float, str, str, float]]:
@@ -199,7 +199,7 @@ def decompose(fields: list[str]) -> list[tuple[float, str, str, float]]:
                 clash = CLASH * ((scale is not None and s is not None and s != scale) + (root is not None and r is not None and r[:2] != root[:2]))
                 key = (scale or s, root or r)
                 after[key] = min(after.get(key, math.inf), cost + c + clash)
-        states = dict(sorted(after.items(), key=lambda x: (x[1], str(x[0])))[:16])
+        states = after
     out = []
     for (scale, root), cost in states.items():
         if root is not None:
@@ -208,25 +208,28 @@ def decompose(fields: list[str]) -> list[tuple[float, str, str, float]]:
     return sorted(out)
 
 
-def figure(value: Column) -> dict[str, Column]:
-    """Columns of a value's text: ``number`` (null unless it holds one clear figure) and ``unit_text``, what is left of it."""
-    minus = F.translate(value, "−–", "--")
-    clean = F.regexp_replace(F.regexp_replace(minus, r"['’‘`]000\b", " thousand "), r"(?<!\p{L})([kc]?m|ft)([23])(?![\d.,])", "$1^$2 ")
-    bare = F.regexp_replace(clean, r"\^[23]", "")
+def with_figure(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``number`` (null unless the text ``value`` holds one clear figure) and ``unit_text``, what is left of it.
+
+    Each step is a column of its own, so that no expression is computed more than once a row.
+    """
     shape = r"\d(?:[\d.,]*\d)?"
-    found = F.regexp_extract_all(bare, F.lit(shape), F.lit(0))
-    one = F.element_at(found, 1)
+    c = F.col
+    rows = rows.withColumn("_clean", F.regexp_replace(F.regexp_replace(F.translate(value, "−–", "--"), r"['’‘`]000\b", " thousand "), r"(?<!\p{L})([kc]?m|ft)([23])(?![\d.,])", "$1^$2 "))
+    rows = rows.withColumn("_bare", F.regexp_replace("_clean", r"\^[23]", ""))
+    rows = rows.withColumn("_found", F.regexp_extract_all("_bare", F.lit(shape), F.lit(0)))
+    rows = rows.withColumn("_one", F.when(F.size("_found") == 1, F.element_at("_found", 1)))
     plain = (
-        F.when(one.rlike(r"^\d{1,3}(\.\d{3})+,\d+$"), F.translate(one, ",.", "."))
-        .when(one.rlike(r"^\d{1,3}(\.\d{3}){2,}$"), F.translate(one, ".", ""))
-        .when(one.rlike(r"^\d+,\d{1,2}$"), F.translate(one, ",", "."))
-        .otherwise(F.translate(one, ",", ""))
+        F.when(c("_one").rlike(r"^\d{1,3}(\.\d{3})+,\d+$"), F.translate("_one", ",.", "."))
+        .when(c("_one").rlike(r"^\d{1,3}(\.\d{3}){2,}$"), F.translate("_one", ".", ""))
+        .when(c("_one").rlike(r"^\d+,\d{1,2}$"), F.translate("_one", ",", "."))
+        .otherwise(F.translate("_one", ",", ""))
     )
-    negative = bare.rlike(r"-[^\d]*\d") | bare.rlike(r"\([^()\d]*\d[\d.,]*[^()\d]*\)") | bare.rlike(r"\d\s*-\s*$")
-    size = plain.try_cast("double")
-    clear = (F.size(found) == 1) & ~bare.rlike(POINTER)
-    rest = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, r"(?<!\^)" + shape, " "), r"-", " "), r"\s+", " "))
-    return {"number": F.when(clear, F.when(negative, -size).otherwise(size)), "unit_text": F.coalesce(rest, F.lit(""))}
+    negative = c("_bare").rlike(r"-[^\d]*\d|\([^()\d]*\d[\d.,]*[^()\d]*\)|\d\s*-\s*$")
+    rows = rows.withColumns({"_size": F.when(~c("_bare").rlike(POINTER), plain.try_cast("double")), "_minus": F.contains("_bare", F.lit("-")) | F.contains("_bare", F.lit("("))})
+    number = F.when(c("_minus") & negative, -c("_size")).otherwise(c("_size"))
+    rest = F.trim(F.regexp_replace(F.regexp_replace("_clean", r"(?<!\^)" + shape, " "), r"[-\s]+", " "))
+    return rows.withColumns({"number": number, "unit_text": F.coalesce(rest, F.lit(""))}).drop("_clean", "_bare", "_found", "_one", "_size", "_minus")
 
 
 DICTIONARY = "unit_key string, predicate string, n long, dimension string, unit string, factor double, cost double, ambiguous boolean"
@@ -270,17 +273,30 @@ def quantities(facts: DataFrame, common_units: DataFrame) -> DataFrame:
     come out as often as they went in; only the columns named here are read. Money stays in its currency.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = facts.where("fact_type = 'numeric' and value_raw is not null").select(
-        F.col("id").alias("fact_id"), text("predicate_norm").alias("predicate"), *(c.alias(k) for k, c in figure(F.col("value_raw")).items()), text("unit_raw").alias("u"), text("magnitude").alias("m"), text("currency").alias("c")
-    )
-    rows = rows.where("number is not null").withColumn("unit_key", F.concat_ws("\x01", "unit_text", "u", "m", "c")).drop("unit_text", "u", "m", "c")
-    rows = cut(rows)  # figures are read once, for the dictionary and for the rows
+    rows = facts.where("fact_type = 'numeric' and value_raw is not null").select(F.col("id").alias("fact_id"), text("predicate_norm").alias("predicate"), "value_raw", text("unit_raw").alias("u"), text("magnitude").alias("m"), text("currency").alias("c"))
+    rows = with_figure(rows, "value_raw").withColumn("unit_key", F.concat_ws("\x01", "unit_text", "u", "m", "c")).select("fact_id", "predicate", "number", "unit_key")
+    # figures are read once, for the dictionary and for the rows; a filter before this would read them twice
+    rows = cut(rows).where("number is not null")
     known = rows.join(unit_dictionary(rows), ["unit_key", "predicate"])
     listed = common_units.select("dimension", "common_unit").where("dimension is not null and common_unit is not null").distinct()
     same = (known["dimension"] == listed["dimension"]) & ((known["unit"] == "") | (known["unit"] == listed["common_unit"]))
     return known.join(listed, same).select("fact_id", known["dimension"], "common_unit", (F.col("number") * F.col("factor")).alias("value"))
 
 
+KEY = ["run_id", "subject_entity_id", "predicate_norm", "reporting_period_raw"]
+
+
+def _stated(facts: DataFrame, common_units: DataFrame, width: float) -> DataFrame:
+    """Quantities of facts that may have equals, with the bin of a logarithmic scale that they lie in."""
+    stated = facts.where("fact_type = 'numeric' and document_id is not null").where(" and ".join(f"{c} is not null" for c in KEY)).select(F.col("id").alias("fact_id"), "document_id", *KEY)
+    rows = stated.join(quantities(facts, common_units), "fact_id").withColumn("sign", F.signum("value").cast("int"))
+    return rows.withColumn("bin", F.when(F.col("value") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("value")) / width)))
+
+
+def _width(tolerance: float) -> float:
+    return -math.log(1 - tolerance) * (1 + 1e-9)
+
+
 def equal_statements(facts: DataFrame, common_units: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """(fact_a_id, fact_b_id): pairs of different documents that state the same quantity, the smaller id first.
 
@@ -288,16 +304,34 @@ def equal_statements(facts: DataFrame, common_units: DataFrame, tolerance: float
     signs count and zero equals zero. Values meet only within their own or the next bin of a logarithmic scale as wide
     as the tolerance, so that a hot subject is never compared as a whole.
     """
-    key = ["run_id", "subject_entity_id", "predicate_norm", "reporting_period_raw"]
-    stated = facts.where("fact_type = 'numeric' and document_id is not null").where(" and ".join(f"{c} is not null" for c in key)).select(F.col("id").alias("fact_id"), "document_id", *key)
-    q = quantities(facts, common_units)
-    width = -math.log(1 - tolerance) * (1 + 1e-9)
-    rows = stated.join(q, "fact_id").withColumn("sign", F.signum("value").cast("int"))
-    rows = rows.withColumn("bin", F.when(F.col("value") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("value")) / width)))
-    keys = [*key, "common_unit", "sign", "bin"]
+    rows = _stated(facts, common_units, _width(tolerance))
+    keys = [*KEY, "common_unit", "sign", "bin"]
     a = rows.select(*[F.col(c) for c in keys if c != "bin"], F.col("fact_id").alias("a"), F.col("document_id").alias("da"), F.col("value").alias("va"), F.col("bin").alias("ba"), F.explode(F.when(F.col("value") == 0, F.array("bin")).otherwise(F.array("bin", F.col("bin") + 1))).alias("bin"))
     b = rows.select(*keys, F.col("fact_id").alias("b"), F.col("document_id").alias("db"), F.col("value").alias("vb"))
     near = F.abs(F.col("va") - F.col("vb")) <= tolerance * F.greatest(F.abs("va"), F.abs("vb"))
     once = (F.col("bin") > F.col("ba")) | (F.col("a") < F.col("b"))
     pairs = a.join(b, keys).where(near & once & (F.col("da") != F.col("db")) & (F.col("a") != F.col("b")))
     return pairs.select(F.least("a", "b").alias("fact_a_id"), F.greatest("a", "b").alias("fact_b_id")).distinct()
+
+
+def equal_classes(facts: DataFrame, common_units: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """(fact_id, class_id, n_links): facts that ``equal_statements`` pairs, without the pairs.
+
+    ``class_id``: the smallest id of the facts that state exactly the same value; ``n_links``: facts of other documents
+    that state it within the tolerance. Only different values meet, each with its number of facts, so that a value which
+    a third of all facts state is compared once.
+    """
+    rows = _stated(facts, common_units, _width(tolerance)).distinct()
+    group = [*KEY, "common_unit", "sign"]
+    rows = cut(rows)
+    docs = rows.groupBy(*group, "bin", "value", "document_id").agg(F.count("*").alias("n"), F.min("fact_id").alias("least"))
+    values = docs.groupBy(*group, "bin", "value").agg(F.sum("n").alias("n"), F.min("least").alias("class_id"))
+    reach = F.when(F.col("value") == 0, F.array("bin")).otherwise(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
+    asked = values.select(*group, "value", "class_id", F.explode(reach).alias("bin"))
+    met = asked.join(values.select(*group, "bin", F.col("value").alias("other"), F.col("n").alias("m")), [*group, "bin"])
+    met = cut(met.where(F.abs(F.col("value") - F.col("other")) <= tolerance * F.greatest(F.abs("value"), F.abs("other"))))
+    whole = met.groupBy(*group, "value", "class_id").agg(F.sum("m").alias("all"))
+    # what the fact's own document states is no link
+    own = met.select(*group, "value", F.col("other")).join(docs.select(*group, F.col("value").alias("other"), "document_id", "n"), [*group, "other"]).groupBy(*group, "value", "document_id").agg(F.sum("n").alias("own"))
+    out = rows.join(whole, [*group, "value"]).join(own, [*group, "value", "document_id"]).withColumn("n_links", F.col("all") - F.col("own"))
+    return out.where("n_links > 0").select("fact_id", "class_id", "n_links")

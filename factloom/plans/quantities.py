@@ -14,5 +14,9 @@ def p6_quantities(spark, folder):
     return units.quantities(table(spark, folder, "facts"), table(spark, folder, "common_units"))
 
 
+def p6_classes(spark, folder):
+    return units.equal_classes(table(spark, folder, "facts"), table(spark, folder, "common_units"))
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_quantities": p6_quantities}
+    return {"p6_classes": p6_classes, "p6_found": p6_found, "p6_quantities": p6_quantities}

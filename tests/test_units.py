@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators.units import decompose, equal_statements, figure, quantities
+from factloom.operators.units import decompose, equal_classes, equal_statements, quantities, with_figure
 
 FACT = "id long, document_id long, run_id long, subject_entity_id long, predicate_norm string, reporting_period_raw string, fact_type string, value_raw string, unit_raw string, magnitude string, currency string, value string, bin int"
 COMMON = [("money", "INR"), ("money", "USD"), ("money", "EUR"), ("money", "GBP"), ("mass", "kg"), ("area", "sqm"), ("length", "m"), ("duration", "day"), ("share", "bps"), ("energy", "kwh"), ("power", "kw"), ("volume", "litre"), ("tally", "one")]
@@ -69,7 +69,7 @@ def test_the_first_field_wins_and_repeats_count_once():
 
 def test_figures_by_column(spark):
     df = spark.createDataFrame([("−1,23,456.5 kg",), ("12,5 kg",), ("1.234.567 kg",)], "v string")
-    assert [r[0] for r in df.select(figure(F.col("v"))["number"]).collect()] == [-123456.5, 12.5, 1234567.0]
+    assert [r[0] for r in with_figure(df, "v").select("number").collect()] == [-123456.5, 12.5, 1234567.0]
 
 
 def test_pairs_equal_brute_force(spark):
@@ -89,3 +89,9 @@ def test_pairs_equal_brute_force(spark):
                 if math.fabs(va - vb) <= 0.005 * max(abs(va), abs(vb)):
                     want.add((a[0], b[0]))
     assert len(got) == len(set(got)) and set(got) == want and want
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    classes = {r.fact_id: r for r in equal_classes(spark.createDataFrame(rows + rows[:5], FACT), common).collect()}
+    assert {k: r.n_links for k, r in classes.items()} == links
+    assert all(float(rows[r.class_id][7]) == float(rows[k][7]) and r.class_id <= k for k, r in classes.items())
