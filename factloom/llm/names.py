@@ -76,8 +76,10 @@ def similar_words(left: DataFrame, right: DataFrame, rule: Rule = Rule(), nickna
 
     def prefix(grams):
         ranked = grams.join(order, "gram").groupBy("word", F.length("gram").alias("q")).agg(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))).alias("g"))
+        # two edits change at most 2 q grams, so that one of the first 2 q + 1 is shared too
         size = F.size("g")
-        return ranked.select("word", F.explode(F.slice("g", 1, size - F.ceil(size * rule.jaccard).cast("int") + 1)).alias("x")).select("word", "x.gram", "x.at")
+        first = F.least(size - F.ceil(size * rule.jaccard).cast("int") + 1, 2 * F.col("q") + 1)
+        return ranked.select("word", F.explode(F.slice("g", F.lit(1), first)).alias("x")).select("word", "x.gram", "x.at")
 
     a, b = prefix(l_grams), prefix(r_grams).withColumnsRenamed({"word": "match", "at": "there"})
     near = a.join(b, "gram").where((F.abs(F.col("at") - F.col("there")) <= 2) & (F.abs(F.length("word") - F.length("match")) <= 2)).select("word", "match").distinct()
@@ -181,8 +183,10 @@ def link_names(facts: DataFrame, key: str, name: str, entities: DataFrame, entit
     both = both.groupBy("raw").agg(F.max("own").alias("own"), F.max(~F.col("own")).alias("asked"))
     typed = both.select("*", _read("raw").alias("r")).select("raw", "own", "asked", "r.*").where("size(words) > 0")
     typed = cut(typed.withColumn("core", F.concat_ws(" ", "words")))
-    # names with a blank inside a word: each reading is a name of its own
-    readings = typed.where("asked").select(F.col("core").alias("as_typed"), F.explode("readings").alias("words")).select("as_typed", "words", F.concat_ws(" ", "words").alias("core")).distinct()
+    same = lambda words: F.array_join(F.sort_array(words), " ")
+    # names with a blank inside a word: each reading is a name of its own; those of the words of a registered one need none
+    spelt = typed.where("own").select(same("words").alias("same")).distinct()
+    readings = typed.where("asked").withColumn("same", same("words")).join(spelt, "same", "left_anti").select(F.col("core").alias("as_typed"), F.explode("readings").alias("words")).select("as_typed", "words", F.concat_ws(" ", "words").alias("core")).distinct()
     no = F.lit(False)
     cores = typed.select("core", "words", "own", "asked").union(readings.select("core", "words", no, no))
     cores = cut(cores.groupBy("core").agg(F.first("words").alias("words"), F.max("own").alias("own"), F.max("asked").alias("asked")))
@@ -209,7 +213,6 @@ def link_names(facts: DataFrame, key: str, name: str, entities: DataFrame, entit
     clear = cut(_clear(links.where("not short").join(asked.select("core"), "core", "left_semi"), rule))
     lost = asked.join(links.where("not short").select("core"), "core", "left_anti")
     # what is not found as typed: through names of the same words, through its readings, cut down
-    same = lambda words: F.array_join(F.sort_array(words), " ")
     alike = lost.select("core", same("words").alias("same")).join(group_of.select(same(F.split("party", " ")).alias("same"), "group_id"), "same").select("core", "group_id").distinct()
     lost = cut(lost.select("core").join(alike, "core", "left_anti"))
     again = readings.join(lost.withColumnRenamed("core", "as_typed"), "as_typed", "left_semi").select("as_typed", "core").join(links.where("not short"), "core")
