@@ -75,14 +75,15 @@ def similar_words(left: DataFrame, right: DataFrame, rule: Rule = Rule(), nickna
     order = l_grams.union(r_grams).groupBy("gram").agg(F.count("*").alias("df"))
 
     def prefix(grams):
-        ranked = grams.join(order, "gram").groupBy("word", F.length("gram").alias("q")).agg(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))).alias("g"))
+        # the planner counts one gram a word and would send all grams to the driver, here and below
+        ranked = grams.hint("merge").join(order, "gram").groupBy("word", F.length("gram").alias("q")).agg(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))).alias("g"))
         # two edits change at most 2 q grams, so that one of the first 2 q + 1 is shared too
         size = F.size("g")
         first = F.least(size - F.ceil(size * rule.jaccard).cast("int") + 1, 2 * F.col("q") + 1)
         return ranked.select("word", F.explode(F.slice("g", F.lit(1), first)).alias("x")).select("word", "x.gram", "x.at")
 
     a, b = prefix(l_grams), prefix(r_grams).withColumnsRenamed({"word": "match", "at": "there"})
-    near = a.join(b, "gram").where((F.abs(F.col("at") - F.col("there")) <= 2) & (F.abs(F.length("word") - F.length("match")) <= 2)).select("word", "match").distinct()
+    near = a.hint("merge").join(b, "gram").where((F.abs(F.col("at") - F.col("there")) <= 2) & (F.abs(F.length("word") - F.length("match")) <= 2)).select("word", "match").distinct()
     close = near.where(F.levenshtein("word", "match", 2) >= 0)
     if nicknames is None:
         return close

@@ -336,7 +336,8 @@ def read_scans(pages: DataFrame, p: Noise = Noise()) -> Reading:
     # a replacement that is itself misread leads on to its own
     onward = guess.select(F.col("word").alias("match"), F.col("match").alias("onward"))
     guess = cut(guess.join(onward, "match", "left").select("word", F.coalesce("onward", "match").alias("match")).where("word <> match"))
-    hits = cut(words.join(guess, "word"))
+    # the planner counts one word a page and would send all words of a middling table to the driver
+    hits = cut(words.hint("merge").join(guess, "word"))
     files = read.groupBy("document_id").agg(F.count_distinct("page_id").alias("pages"))
     damaged = hits.where("not word rlike '^[0-9]'").groupBy("document_id").agg(F.count_distinct("page_id").alias("damaged"))
     scans = files.join(damaged, "document_id").where((F.col("damaged") >= p.scanned * F.col("pages")) & F.col("document_id").isNotNull()).select("document_id", F.lit(True).alias("scan"))

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
+from factloom.llm import scans
 from factloom.llm.boost import Boosted
+from factloom.llm.names import similar_words
 from factloom.llm.scans import damage, mended_pages, page_number, read_scans
 
 WORDS = "management committee statutory treasury regional council auditor procurement environmental remediation amalgamation provisioning distribution discontinued undertaking confirmation balances approved recorded discussed confirmed schedule inventories disclosure shareholders restructuring depreciation recommendation arbitration commissioning".split()
@@ -88,6 +90,23 @@ def test_heads_of_any_form(spark):
     assert not any(head in texts[doc * 100] for doc, head in heads.items()) and texts[900] == "Nil"
 
 
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_words_and_grams_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rows, want = corpus()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "pages"))  # a file has a size to plan by
+    plans, cut = [], scans.cut
+    monkeypatch.setattr(scans, "cut", lambda df: plans.append(planned(df)) or cut(df))
+    found = scans.read_scans(spark.read.parquet(str(tmp_path / "pages"))).found.collect()
+    assert {(r.page_id, r.noise_kind) for r in found} == {(k, kind) for k, kinds in want.items() for kind in kinds}
+    joined = [p for p in plans if "explode(words" in p and "Join" in p]
+    assert len(joined) == 1 and "BroadcastHashJoin" not in joined[0]
+    words = spark.range(2000).selectExpr("concat('word', id) as word")
+    assert "BroadcastHashJoin" not in planned(similar_words(words, words))
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((800, 3))
