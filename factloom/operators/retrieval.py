@@ -1,9 +1,11 @@
 """Candidate fact pairs by blocking, scored, the best few of every fact.
 
 Three blocks make candidates: facts of one entity, facts of one predicate, and facts that share a token which not too
-many facts hold. The last are bounded and joined fact by fact. In the first two a pair that shares no such token scores
-by entity, predicate and the frequent tokens only, so facts that have these in common form a kind, kinds are compared
-instead of facts, and of each kind only the lowest ids can be among anybody's best: no hot entity is joined with itself.
+many facts hold. The last are bounded and joined fact by fact, where entity or predicates let the pair pass at all. In the
+first two a pair that shares no such token scores by entity, predicate and the frequent tokens only, so facts that have
+these in common form a kind, and of each kind only the lowest ids can be among anybody's best. Since a score counts three
+shared tokens at most, kinds of one entity and predicate, or of one predicate, meet through the sets of up to three tokens
+that they hold, each with its lowest ids: neither a hot entity nor a hot predicate is joined with itself.
 """
 
 from __future__ import annotations
@@ -22,16 +24,68 @@ def fact_rows(facts: DataFrame) -> DataFrame:
     key = F.lower(text.predicate_text(F.col("predicate"), F.col("predicate_norm")))
     return facts.where("lifecycle_state = 'ELIGIBLE_FOR_REASONING'").select("id", "document_id", F.col("subject_entity_id").alias("e"), key.alias("p"), text.content_tokens(said).alias("t"))
 
+#: A score counts so many shared tokens at most.
+FULL = 3
+#: A kind with more sets of tokens than that is compared with the kinds of its block one by one.
+SUBSETS = 2500
+METHODS = ["entity", "predicate_exact", "predicate_similar", "lexical"]
+
 
 def _score(same: Column, sim: Column, shared: Column, p: Thresholds) -> Column:
     whole = p.weight_predicate + p.weight_lexical + p.weight_entity
     if whole <= 0:
         return F.lit(0.0)
-    return F.round((p.weight_entity * same.cast("int") + p.weight_predicate * sim + p.weight_lexical * F.least(F.lit(1.0), shared / 3)) / whole, 6)
+    return F.round((p.weight_entity * same.cast("int") + p.weight_predicate * sim + p.weight_lexical * F.least(F.lit(1.0), shared / FULL)) / whole, 6)
 
 
 def _methods(same: Column, exact: Column, sim: Column, lexical: Column, p: Thresholds) -> Column:
-    return F.array_compact(F.array(F.when(same, "entity"), F.when(exact, "predicate_exact").when(sim >= p.predicate, "predicate_similar"), F.when(lexical, "lexical")))
+    """The names of ``METHODS`` that hold, as bits."""
+    return F.when(same, 1).otherwise(0) + F.when(exact, 2).when(sim >= p.predicate, 4).otherwise(0) + F.when(lexical, 8).otherwise(0)
+
+
+def _subsets(c: Column, most: Column) -> Column:
+    """The subsets of an ordered array that have ``most`` members or fewer, at most three."""
+    after = lambda n: F.slice(c, n, F.size(c))
+    none = F.array(F.array().cast("array<long>"))
+    one = F.transform(c, lambda x: F.array(x))
+    two = F.flatten(F.transform(c, lambda x, i: F.transform(after(i + 2), lambda y: F.array(x, y))))
+    three = F.flatten(F.transform(c, lambda x, i: F.flatten(F.transform(after(i + 2), lambda y, j: F.transform(after(i + j + 3), lambda z: F.array(x, y, z))))))
+    return F.when(most <= 0, none).when(most == 1, F.concat(none, one)).when(most == 2, F.concat(none, one, two)).otherwise(F.concat(none, one, two, three))
+
+
+def _nearest(kinds: DataFrame, key: list[str], k: int, flat: bool) -> DataFrame:
+    """(kind, best): for every kind the first ``k`` of (o, level) among the ids of the kinds of equal ``key``, itself included.
+
+    ``kinds``: kind, key, d (tokens in order), ids. The level is the number of tokens shared, ``FULL`` at most; highest
+    level first, then lowest id. Tokens that all kinds of a key hold are shared anyway, so only sets of the others are
+    made, as large as is missing. Whoever is among the first of a kind is among the first of a set that both hold.
+    ``flat``: levels don't count, all are 0.
+    """
+    if flat:
+        rows = kinds.select("kind", *key, "ids", F.lit(0).alias("b"), F.lit(0).alias("most"), F.array().cast("array<long>").alias("rest"))
+    else:
+        whole = kinds.groupBy(*key).agg(F.count("*").alias("all"))
+        base = kinds.select(*key, F.explode("d").alias("w")).groupBy(*key, "w").agg(F.count("*").alias("n")).join(whole, key).where(F.col("n") == F.col("all")).groupBy(*key).agg(F.collect_list("w").alias("base"))
+        rest = F.array_except("d", F.coalesce("base", F.array().cast("array<long>")))
+        rows = kinds.join(base, key, "left").select("kind", *key, "d", "ids", F.greatest(F.size("base"), F.lit(0)).alias("b"), rest.alias("rest")).withColumn("most", F.greatest(F.lit(FULL) - F.col("b"), F.lit(0)))
+    n = F.size("rest").cast("double")
+    long_ = F.when(F.col("most") == 1, n).when(F.col("most") == 2, n * (n - 1) / 2).when(F.col("most") == 3, n * (n - 1) * (n - 2) / 6).otherwise(0.0) > SUBSETS
+    rows = cut(rows.withColumn("long", long_))
+    sets = rows.where("not long").select("kind", *key, "ids", "b", F.explode(_subsets(F.col("rest"), F.col("most"))).alias("s"))
+    first = sets.select(*key, "s", F.explode("ids").alias("o")).withColumn("r", F.row_number().over(Window.partitionBy(*key, "s").orderBy("o"))).where(F.col("r") <= k)
+    first = first.groupBy(*key, "s").agg(F.collect_list("o").alias("first"))
+    found = sets.select("kind", *key, "s", F.least(F.lit(FULL), F.col("b") + F.size("s")).alias("level")).join(first, [*key, "s"]).select("kind", "level", F.col("first").alias("ids"))
+    if not flat:
+        other = rows.select(*key, F.col("d").alias("dd"), F.col("ids").alias("o"), F.col("long").alias("long_o"))
+        met = rows.where("long").select("kind", *key, "d").join(other.drop("long_o"), key).union(rows.where("not long").select("kind", *key, "d").join(other.where("long_o").drop("long_o"), key))
+        met = met.select("kind", F.least(F.lit(FULL), F.size(F.array_intersect("d", "dd"))).alias("level"), F.explode("o").alias("o"))
+        met = met.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("level"), "o"))).where(F.col("r") <= k)
+        found = found.union(met.groupBy("kind", "level").agg(F.collect_list("o").alias("ids")))
+    out = found.groupBy("kind").agg(F.collect_list(F.struct("level", "ids")).alias("found")).withColumn("taken", F.array().cast("array<long>")).withColumn("best", F.array().cast("array<struct<o:long,level:int>>"))
+    for level in [0] if flat else range(FULL, -1, -1):
+        at = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("found", lambda x: x["level"] == level), lambda x: x["ids"]))))  # noqa: B023
+        out = out.withColumn("at", F.slice(F.array_except(at, "taken"), 1, k)).withColumns({"taken": F.concat("taken", "at"), "best": F.concat("best", F.transform("at", lambda o: F.struct(o.alias("o"), F.lit(level).alias("level"))))})  # noqa: B023
+    return out.select("kind", F.slice("best", 1, k).alias("best"))
 
 
 def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: DataFrame | None = None) -> DataFrame:
@@ -41,62 +95,82 @@ def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: D
     gives needs ``min_shared`` shared tokens and a score of ``candidate``. ``documents`` (id): only pairs that touch one
     of them are returned; their partners come from all documents. Rows must have unique ids.
     """
-    k = p.top_k
+    k, whole = p.top_k, p.weight_predicate + p.weight_lexical + p.weight_entity
+    flat = whole <= 0 or p.weight_lexical == 0
+    if not flat and p.weight_lexical / FULL / whole < 2e-6:  # a shared token must show in a rounded score
+        raise ValueError("weight_lexical must be 0, or above a hundred thousandth of all weights")
     rows = cut(fact_rows(facts))
     words = rows.select("id", F.explode("t").alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    marked = words.join(counts, "w")
-    dense = marked.where(F.col("n") > p.bucket_max).groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("d"))
-    keyed = cut(rows.join(dense, "id", "left").select("id", "document_id", "e", "p", F.coalesce("d", F.array().cast("array<string>")).alias("d")))
+    counts = cut(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.monotonically_increasing_id()))
+    often = F.col("n") > p.bucket_max
+    held = words.join(counts, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.when(often, F.col("c")))).alias("d"), F.collect_list(F.when(~often, F.col("c"))).alias("w"))
+    # predicates by number, a blank one by -1
+    names = cut(rows.select("p").distinct().select(F.col("p").alias("name"), F.when(F.col("p") == "", -1).otherwise(F.monotonically_increasing_id()).alias("p")))
+    empty = F.array().cast("array<long>")
+    keyed = cut(rows.withColumnRenamed("p", "name").join(held, "id", "left").join(names, "name").select("id", "document_id", "e", "p", F.coalesce("d", empty).alias("d"), F.coalesce("w", empty).alias("w")))
 
     yes, no = F.lit(True), F.lit(False)
-    sim_of = lambda pairs: pairs.join(pairs.select("p", "q").distinct().where("p <> '' and q <> ''").select("p", "q", F.when(F.col("p") == F.col("q"), 1.0).otherwise(fuzzy.set_ratio("p", "q") / 100).alias("sim")), ["p", "q"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-
-    # pairs that share a token of a block
-    rare = marked.where(F.col("n").between(2, p.bucket_max)).select("w", "id")
-    met = rare.alias("l").join(rare.alias("r"), "w").where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("rare"))
-    side = lambda i, e, q, d: keyed.select(F.col("id").alias(i), F.col("e").alias(e), F.col("p").alias(q), F.col("d").alias(d))
-    met = sim_of(met.join(side("a", "ea", "p", "da"), "a").join(side("b", "eb", "q", "db"), "b"))
-    same, exact = F.coalesce(F.col("ea") == F.col("eb"), no), (F.col("p") == F.col("q")) & (F.col("p") != "")
-    met = met.withColumns({"shared": F.col("rare") + F.size(F.array_intersect("da", "db")), "same": same, "exact": exact})
-    met = met.withColumn("score", _score(F.col("same"), F.col("sim"), F.col("shared"), p))
-    met = met.where((F.col("same") | F.col("exact")) | ((F.col("shared") >= p.min_shared) & (F.col("score") >= p.candidate)))
-    met = met.select("a", "b", "score", _methods(F.col("same"), F.col("exact"), F.col("sim"), yes, p).alias("methods"))
-    lexical = met.select(F.col("a").alias("x"), F.col("b").alias("o"), "score", "methods").union(met.select("b", "a", "score", "methods"))
+
+    def similar(pairs):
+        """(p, q, sim) of different pairs of predicates."""
+        said = pairs.join(names.withColumnRenamed("name", "x"), "p").join(names.withColumnsRenamed({"p": "q", "name": "y"}), "q")
+        alike = said.where("p <> q and p >= 0 and q >= 0").select("p", "q", (fuzzy.set_ratio("x", "y") / 100).alias("sim"))
+        return alike.union(said.where("p = q or p < 0 or q < 0").select("p", "q", F.when((F.col("p") == F.col("q")) & (F.col("p") >= 0), 1.0).otherwise(0.0).alias("sim")))
+
+    # pairs that share a token of a block: of one entity, or of predicates that are equal or similar enough for a pair of two entities
+    rare = keyed.select("id", "e", "p", "d", F.explode("w").alias("w"))
+    said = rare.select("w", "p").distinct()
+    mates = similar(said.join(said.select("w", F.col("p").alias("q")), "w").where("p <= q").select("p", "q").distinct())
+    mates = cut(mates.union(mates.where("p <> q").select(F.col("q").alias("p"), F.col("p").alias("q"), "sim")))
+    exact = (F.col("p") == F.col("q")) & (F.col("p") >= 0)
+    able = mates.where(exact | (_score(no, F.col("sim"), F.lit(FULL), p) >= p.candidate))
+    right = rare.select("w", F.col("id").alias("b"), F.col("e").alias("eb"), F.col("p").alias("q"), F.col("d").alias("db"))
+    dense = F.size(F.array_intersect("d", "db")).alias("dense")
+    one = rare.where("e is not null").join(right.withColumnRenamed("eb", "e"), ["w", "e"]).where("id < b").select(F.col("id").alias("a"), "b", "p", "q", dense)
+    one = one.groupBy("a", "b", "p", "q", "dense").agg(F.count("*").alias("rare")).join(mates, ["p", "q"]).select("a", "b", "p", "q", "sim", "dense", "rare", yes.alias("same"))
+    two = rare.join(able, "p").join(right, ["w", "q"]).where("id < b and not coalesce(e = eb, false)").select(F.col("id").alias("a"), "b", "p", "q", "sim", dense)
+    two = two.groupBy("a", "b", "p", "q", "sim", "dense").agg(F.count("*").alias("rare")).select("a", "b", "p", "q", "sim", "dense", "rare", no.alias("same"))
+    met = one.union(two).withColumn("shared", F.col("rare") + F.col("dense")).withColumn("score", _score(F.col("same"), F.col("sim"), F.col("shared"), p))
+    met = met.where(F.col("same") | exact | ((F.col("shared") >= p.min_shared) & (F.col("score") >= p.candidate)))
+    met = met.select("a", "b", "score", _methods(F.col("same"), exact, F.col("sim"), yes, p).alias("methods"))
+    # nobody's reading of a pair is better than this one, so the first k of a fact are enough
+    lexical = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("o")), F.struct(F.col("b").alias("x"), F.col("a").alias("o")))).alias("m"), "score", "methods").select("m.x", "m.o", "score", "methods")
+    lexical = lexical.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "o"))).where(F.col("r") <= k).drop("r")
 
     # kinds: no fact needs more of one than the k lowest ids beside itself
     def lowest(*key):
         of = Window.partitionBy(*key).orderBy("id")
-        return keyed.withColumn("r", F.row_number().over(of)).where(F.col("r") <= k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        return keyed.withColumn("r", F.row_number().over(of)).where(F.col("r") <= k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("kind", F.monotonically_increasing_id())
 
-    def best(kinds, key):
-        """For each kind (``key``, p, d) the first k + 1 of (score, id, methods) among the kinds it is compared with."""
-        ranked = kinds.select(*key, "score", "methods", F.explode("ids").alias("o")).withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "o"))).where(F.col("r") <= k + 1)
-        return ranked.groupBy(*key).agg(F.collect_list(F.struct("o", "score", "methods")).alias("best"))
+    def read(lists, same, exact, sim):
+        """``best`` with score and methods in place of the level."""
+        return lists.withColumn("best", F.transform("best", lambda x: F.struct(x["o"].alias("o"), _score(same, sim, x["level"], p).alias("score"), _methods(same, exact, sim, no, p).alias("methods"))))
 
-    shared = F.size(F.array_intersect("d", "dd"))
     kinds = cut(lowest("e", "p", "d").where("e is not null"))
+    named_, full = F.col("p") >= 0, F.when(F.col("p") >= 0, 1.0).otherwise(0.0)
+    own = cut(read(kinds.drop("ids").join(_nearest(kinds, ["e", "p"], k + 1, flat), "kind"), yes, named_, full))
     # predicates of an entity that cannot reach what its own facts of the same predicate score are not looked at
-    own = kinds.drop("ids").join(kinds.select("e", "p", F.col("d").alias("dd"), "ids"), ["e", "p"])
-    full = F.when(F.col("p") == "", 0.0).otherwise(1.0)
-    own = cut(best(own.select("e", "p", "d", "ids", _score(yes, full, shared, p).alias("score"), _methods(yes, F.col("p") != "", full, no, p).alias("methods")), ["e", "p", "d"]))
-    least = own.select("e", "p", "d", F.when(F.size("best") > k, F.array_min(F.transform("best", lambda x: x["score"]))).otherwise(0.0).alias("least"))
+    least = own.select("kind", "e", "p", "d", F.when(F.size("best") > k, F.array_min(F.transform("best", lambda x: x["score"]))).otherwise(0.0).alias("least"))
     floor = least.groupBy("e", "p").agg(F.min("least").alias("floor"))
     named = kinds.select("e", "p").distinct()
-    other = sim_of(named.join(named.select("e", F.col("p").alias("q")), "e").where("p <> q")).join(floor, ["e", "p"]).where(_score(yes, F.col("sim"), F.lit(3), p) >= F.col("floor"))
-    other = other.join(least, ["e", "p"]).where(_score(yes, F.col("sim"), F.lit(3), p) >= F.col("least")).drop("floor", "least")
+    other = named.join(named.select("e", F.col("p").alias("q")), "e").where("p <> q")
+    other = other.join(similar(other.select("p", "q").distinct()), ["p", "q"]).join(floor, ["e", "p"]).where(_score(yes, F.col("sim"), F.lit(FULL), p) >= F.col("floor"))
+    other = other.join(least, ["e", "p"]).where(_score(yes, F.col("sim"), F.lit(FULL), p) >= F.col("least")).drop("floor", "least")
     other = other.join(kinds.select("e", F.col("p").alias("q"), F.col("d").alias("dd"), "ids"), ["e", "q"])
-    other = best(other.select("e", "p", "d", "ids", _score(yes, F.col("sim"), shared, p).alias("score"), _methods(yes, no, F.col("sim"), no, p).alias("methods")), ["e", "p", "d"])
-    wide = lowest("p", "d").where("p <> ''")
-    across = wide.drop("ids").join(wide.select("p", F.col("d").alias("dd"), "ids"), "p")
-    across = best(across.select("p", "d", "ids", _score(no, F.lit(1.0), shared, p).alias("score"), _methods(no, yes, F.lit(1.0), no, p).alias("methods")), ["p", "d"])
+    other = other.select("kind", _score(yes, F.col("sim"), F.size(F.array_intersect("d", "dd")), p).alias("score"), _methods(yes, no, F.col("sim"), no, p).alias("methods"), F.explode("ids").alias("o"))
+    other = other.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "o"))).where(F.col("r") <= k + 1)
+    other = kinds.drop("ids").join(other.groupBy("kind").agg(F.collect_list(F.struct("o", "score", "methods")).alias("best")), "kind")
+    wide = cut(lowest("p", "d").where("p >= 0"))
+    across = read(wide.drop("ids").join(_nearest(wide, ["p"], k + 1, flat), "kind"), no, yes, F.lit(1.0))
 
-    listed = lambda lists, key: keyed.join(lists, key).select(F.col("id").alias("x"), F.inline("best")).where("x <> o").select("x", "o", "score", "methods")
+    listed = lambda lists, key: keyed.join(lists.drop("kind"), key).select(F.col("id").alias("x"), F.inline("best")).where("x <> o").select("x", "o", "score", "methods")
     every = lexical.union(listed(own, ["e", "p", "d"])).union(listed(other, ["e", "p", "d"])).union(listed(across, ["p", "d"]))
-    # of several readings of one pair the fullest holds
-    every = every.groupBy("x", "o").agg(F.max(F.struct("score", F.size("methods").alias("n"), "methods")).alias("m")).select("x", "o", "m.score", "m.methods")
+    # the readings of one pair differ in what they leave out: the fullest has the highest score and all methods
+    fullest = [F.max("score").alias("score"), F.bit_or("methods").alias("methods")]
+    every = every.repartition("x").groupBy("x", "o").agg(*fullest)
     top = every.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "o"))).where(F.col("r") <= k)
-    pairs = top.groupBy(F.least("x", "o").alias("a"), F.greatest("x", "o").alias("b")).agg(F.max(F.struct("score", F.size("methods").alias("n"), "methods")).alias("m")).select("a", "b", "m.score", "m.methods")
+    pairs = top.groupBy(F.least("x", "o").alias("a"), F.greatest("x", "o").alias("b")).agg(*fullest)
+    pairs = pairs.select("a", "b", "score", F.array_compact(F.array(*[F.when(F.col("methods").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(METHODS)])).alias("methods"))
     if documents is not None:
         touched = keyed.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
         ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(touched, "id", "left_semi").select("a", "b").distinct()

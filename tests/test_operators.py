@@ -77,6 +77,46 @@ def test_retrieval_equals_brute_force(spark, seed, bucket):
     assert {(r.a, r.b) for r in one.collect()} == {k for k in want if 1 in (k[0] % 3, k[1] % 3)}
 
 
+def joined_rows(spark, run):
+    """(result of ``run``, the most rows that any join of its executions gave)."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out, most = store.executionsCount(), run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = store.executionsList()
+    for i in range(before, found.size()):
+        graph, values = store.planGraph(found.apply(i).executionId()).allNodes(), store.executionMetrics(found.apply(i).executionId())
+        for n in (graph.apply(k) for k in range(graph.size())):
+            for m in (n.metrics().apply(k) for k in range(n.metrics().size())):
+                if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+@pytest.mark.parametrize("entity", [None, 1])
+def test_no_hot_predicate_or_entity_meets_itself(spark, entity):
+    rng = random.Random(7)
+    words = [f"w{n}" for n in range(30)]
+    rows = [(n, entity, "output", rng.choice(["acme", "other"]), " ".join(rng.sample(words, 4))) for n in range(1, 501)]
+    df = spark.createDataFrame([fact(n, n % 3, p, 1.0, entity=e, subject_raw=s, object_raw=o) for n, e, p, s, o in rows], FACT)
+    got, most = joined_rows(spark, lambda: retrieval.candidate_pairs(df, signals.Thresholds(top_k=4, bucket_max=10)).collect())
+    want = brute_pairs(rows, 4, 10)
+    assert {(r.a, r.b): (r.score, r.methods) for r in got} == {k: (pytest.approx(s), m) for k, (s, m) in want.items()}
+    assert most < 100 * len(rows)
+
+
+@pytest.mark.parametrize("weight", [0.2, 0.0])
+def test_kinds_of_many_tokens_are_compared_one_by_one(spark, monkeypatch, weight):
+    rng = random.Random(8)
+    rows = [(n, rng.choice([1, 2, None]), rng.choice(["output", "net output", ""]), "acme", " ".join(rng.sample("abcdefghijkl", 3)).replace(" ", "x ") + "x" * rng.choice([1, 40])) for n in range(1, 90)]
+    df = spark.createDataFrame([fact(n, n % 3, p, 1.0, entity=e, subject_raw=s, object_raw=o) for n, e, p, s, o in rows], FACT)
+    p = signals.Thresholds(top_k=4, bucket_max=8, weight_lexical=weight)
+    by_sets = {tuple(map(str, r)) for r in retrieval.candidate_pairs(df, p).collect()}
+    monkeypatch.setattr(retrieval, "SUBSETS", 5)
+    assert by_sets == {tuple(map(str, r)) for r in retrieval.candidate_pairs(df, p).collect()}
+    if weight:
+        assert len(by_sets) == len(brute_pairs(rows, 4, 8))
+
+
 def test_verdict_grid(spark):
     cases = [(0.0, "equal", "CORROBORATES"), (0.01, "equal", "CORROBORATES"), (0.05, "equal", "UNCERTAIN"), (0.3, "equal", "CONTRADICTS"), (0.3, "overlaps", "CONTRADICTS"), (0.3, "adjacent", "TEMPORAL_EVOLUTION"), (0.3, "disjoint", "TEMPORAL_EVOLUTION"), (0.3, "missing", "UNCERTAIN")]
     df = spark.createDataFrame(cases, "delta double, period_relation string, want string")
