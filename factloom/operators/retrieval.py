@@ -88,12 +88,10 @@ def _nearest(kinds: DataFrame, key: list[str], k: int, flat: bool) -> DataFrame:
     return out.select("kind", F.slice("best", 1, k).alias("best"))
 
 
-def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: DataFrame | None = None) -> DataFrame:
-    """(a, b, score, methods) with a < b: pairs within the first ``top_k`` of either fact, best score first, then lowest ids.
+def readings(facts: DataFrame, p: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
+    """((x, o, score, methods), (id, document_id, ...)): the partners o of every fact x among which its first ``top_k`` are, methods as bits; the facts.
 
-    Tokens held by more than ``bucket_max`` facts make no block, but count as shared. A pair that only a token block
-    gives needs ``min_shared`` shared tokens and a score of ``candidate``. ``documents`` (id): only pairs that touch one
-    of them are returned; their partners come from all documents. Rows must have unique ids.
+    They hold the first of every smaller ``top_k`` and higher ``candidate`` too, all else being equal.
     """
     k, whole = p.top_k, p.weight_predicate + p.weight_lexical + p.weight_entity
     flat = whole <= 0 or p.weight_lexical == 0
@@ -133,9 +131,9 @@ def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: D
     met = one.union(two).withColumn("shared", F.col("rare") + F.col("dense")).withColumn("score", _score(F.col("same"), F.col("sim"), F.col("shared"), p))
     met = met.where(F.col("same") | exact | ((F.col("shared") >= p.min_shared) & (F.col("score") >= p.candidate)))
     met = met.select("a", "b", "score", _methods(F.col("same"), exact, F.col("sim"), yes, p).alias("methods"))
-    # nobody's reading of a pair is better than this one, so the first k of a fact are enough
+    # nobody's reading of a pair is better than this one, so the first k of a fact are enough, of those that only a token block gives and of the others
     lexical = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("o")), F.struct(F.col("b").alias("x"), F.col("a").alias("o")))).alias("m"), "score", "methods").select("m.x", "m.o", "score", "methods")
-    lexical = lexical.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "o"))).where(F.col("r") <= k).drop("r")
+    lexical = lexical.withColumn("r", F.row_number().over(Window.partitionBy("x", _loose()).orderBy(F.desc("score"), "o"))).where(F.col("r") <= k).drop("r")
 
     # kinds: no fact needs more of one than the k lowest ids beside itself
     def lowest(*key):
@@ -167,10 +165,34 @@ def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: D
     every = lexical.union(listed(own, ["e", "p", "d"])).union(listed(other, ["e", "p", "d"])).union(listed(across, ["p", "d"]))
     # the readings of one pair differ in what they leave out: the fullest has the highest score and all methods
     fullest = [F.max("score").alias("score"), F.bit_or("methods").alias("methods")]
-    every = every.repartition("x").groupBy("x", "o").agg(*fullest)
-    top = every.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "o"))).where(F.col("r") <= k)
-    pairs = top.groupBy(F.least("x", "o").alias("a"), F.greatest("x", "o").alias("b")).agg(*fullest)
-    pairs = pairs.select("a", "b", "score", F.array_compact(F.array(*[F.when(F.col("methods").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(METHODS)])).alias("methods"))
+    return every.repartition("x").groupBy("x", "o").agg(*_fullest()), keyed
+
+
+def _fullest() -> list[Column]:
+    return [F.max("score").alias("score"), F.bit_or("methods").alias("methods")]
+
+
+def _loose() -> Column:
+    """Whether only a token block gives a pair."""
+    return F.col("methods").bitwiseAND(3) == 0
+
+
+def best(every: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
+    """(a, b, score, methods) of ``readings``, made with this ``top_k`` or a higher one and this ``candidate`` or a lower one."""
+    top = every.where(~_loose() | (F.col("score") >= p.candidate)).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "o"))).where(F.col("r") <= p.top_k)
+    pairs = top.groupBy(F.least("x", "o").alias("a"), F.greatest("x", "o").alias("b")).agg(*_fullest())
+    return pairs.select("a", "b", "score", F.array_compact(F.array(*[F.when(F.col("methods").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(METHODS)])).alias("methods"))
+
+
+def candidate_pairs(facts: DataFrame, p: Thresholds = Thresholds(), documents: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, methods) with a < b: pairs within the first ``top_k`` of either fact, best score first, then lowest ids.
+
+    Tokens held by more than ``bucket_max`` facts make no block, but count as shared. A pair that only a token block
+    gives needs ``min_shared`` shared tokens and a score of ``candidate``. ``documents`` (id): only pairs that touch one
+    of them are returned; their partners come from all documents. Rows must have unique ids.
+    """
+    every, keyed = readings(facts, p)
+    pairs = best(every, p)
     if documents is not None:
         touched = keyed.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
         ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(touched, "id", "left_semi").select("a", "b").distinct()

@@ -75,13 +75,12 @@ def numeric_signals(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Col
 def with_pair(pairs: DataFrame, facts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) joined to both facts as structs ``fa`` and ``fb``, with their documents' dates where given."""
     rows = facts.select("id", F.struct(*FACT_FIELDS).alias("f"))
-    out = pairs.join(rows.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(rows.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
-    if documents is not None:
+    if documents is not None:  # joined to the facts, of which there are fewer than pairs
         has = lambda c: F.col(c) if c in documents.columns else F.lit(None)
-        dates = documents.select("id", F.coalesce(F.col("publication_date"), has("document_date").cast("date")).alias("d"), has("data_vintage").cast("string").alias("v"))
-        for side in "ab":
-            out = out.join(dates.withColumnsRenamed({"id": f"doc_{side}", "d": f"published_{side}", "v": f"vintage_{side}"}), F.col(f"f{side}.document_id") == F.col(f"doc_{side}"), "left")
-    return out
+        dates = documents.select(F.col("id").alias("doc"), F.coalesce(F.col("publication_date"), has("document_date").cast("date")).alias("published"), has("data_vintage").cast("string").alias("vintage"))
+        rows = rows.join(dates, F.col("f.document_id") == F.col("doc"), "left")
+    side = lambda s: rows.withColumnsRenamed({"id": s, **{c: f"{c}{s}" if c == "f" else f"{c}_{s}" for c in rows.columns if c != "id"}})
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def signals(pairs: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
@@ -92,7 +91,6 @@ def signals(pairs: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
     left, right = text.content_tokens(F.col("pa")), text.content_tokens(F.col("pb"))
     union = F.size(F.array_union(left, right))
     compared = distinct.select("pa", "pb", ((F.col("pa") == F.col("pb")) & (F.col("pa") != "")).alias("predicate_exact"), F.round(fuzzy.set_ratio("pa", "pb") / 100, 4).alias("predicate_similarity"), F.when(union == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(left, right)) / F.nullif(union, F.lit(0)), 4)).alias("predicate_jaccard"))
-    pairs = pairs.join(compared, ["pa", "pb"])
     side = lambda s: {"base": F.col(f"{s}.base_value"), "is_pct": F.col(f"{s}.is_percentage"), "unit": F.col(f"{s}.unit_raw"), "currency": F.col(f"{s}.currency"), "fact_type": F.col(f"{s}.fact_type"), "start": F.col(f"{s}.reporting_period_start"), "end": F.col(f"{s}.reporting_period_end"), "type": F.col(f"{s}.reporting_period_type")}
     a, b = side("fa"), side("fb")
     scope, conflict = scope_relation(F.col("fa.scope"), F.col("fb.scope"))
@@ -119,14 +117,16 @@ def signals(pairs: DataFrame, p: Thresholds = Thresholds()) -> DataFrame:
         made |= {f"subject_entity_id_{side}": f("subject_entity_id"), f"fact_type_{side}": f("fact_type"), f"modality_{side}": f("modality")}
     made["same_document"] = F.col("fa.document_id") == F.col("fb.document_id")
     made["modality_relation"] = F.when(F.col("fa.modality") == F.col("fb.modality"), "same").otherwise("different")
+    # only what is made of the facts is carried to where predicates are compared
     numeric = (a["fact_type"] == "numeric") | (b["fact_type"] == "numeric")
-    made["reasons"] = F.array_compact(F.array(
-        F.when(made["entity_relation"] == "unresolved", "one or both subjects are not resolved to an entity"),
-        F.when(numeric & ~F.coalesce(made["numeric_comparable"], F.lit(False)), "numeric comparison skipped (missing base_value or mixed fact types)"),
-        F.when(made["period_relation"] == "missing", "reporting period absent on at least one side"),
-        F.when(scope == "missing", "scope not described on both sides"),
+    pairs = pairs.select("a", "b", "pa", "pb", numeric.alias("_numeric"), *[v.alias(k) for k, v in made.items()]).join(compared, ["pa", "pb"])
+    reasons = F.array_compact(F.array(
+        F.when(F.col("entity_relation") == "unresolved", "one or both subjects are not resolved to an entity"),
+        F.when(F.col("_numeric") & ~F.coalesce("numeric_comparable", F.lit(False)), "numeric comparison skipped (missing base_value or mixed fact types)"),
+        F.when(F.col("period_relation") == "missing", "reporting period absent on at least one side"),
+        F.when(F.col("scope_relation") == "missing", "scope not described on both sides"),
     ))
-    return pairs.select("a", "b", "predicate_exact", "predicate_similarity", "predicate_jaccard", *[v.alias(k) for k, v in made.items()])
+    return pairs.select("a", "b", "predicate_exact", "predicate_similarity", "predicate_jaccard", *made, reasons.alias("reasons"))
 
 
 def verdict(p: Thresholds = Thresholds()) -> Column:

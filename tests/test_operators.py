@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy
-from factloom.operators import candidates, grounding, resolve, retrieval, signals, views
+from factloom.operators import candidates, grounding, resolve, retrieval, signals, stages, views
 from factloom.sources import ingest
 from factloom.streaming import incremental
 
@@ -117,6 +117,29 @@ def test_kinds_of_many_tokens_are_compared_one_by_one(spark, monkeypatch, weight
         assert len(by_sets) == len(brute_pairs(rows, 4, 8))
 
 
+def test_sweep_searches_partners_once(spark, monkeypatch):
+    rng = random.Random(9)
+    names = ["revenue from operations", "revenue from services", "total revenue from operations net"]
+    rows = [(n, rng.choice([1, 1, 2, None]), rng.choice(names), rng.choice(["acme", "acme works"]), " ".join(rng.sample(["crore", "mn", "10", "25", "70", "81"], 2))) for n in range(1, 60)]
+    facts = spark.createDataFrame([fact(n, n % 3, p, rng.choice([1.0, 1.1, 2.0]), entity=e, subject_raw=s, object_raw=o) for n, e, p, s, o in rows], FACT)
+    facts = facts.withColumn("reasoning_eligible", F.lit(True))
+    files = spark.createDataFrame([(n, None) for n in range(3)], "id long, publication_date date")
+    searches, real = [], retrieval.fact_rows
+    monkeypatch.setattr(retrieval, "fact_rows", lambda facts: searches.append(1) or real(facts))
+    configs = {"baseline": {"top_k": 4, "confidence": 0.5}, "few": {"top_k": 2}, "strict": {"top_k": 3, "candidate": 0.8}, "loose": {"top_k": 3, "candidate": 0.5}, "contradiction": {"top_k": 4, "contradiction": 0.6}}
+    got = sorted(map(tuple, stages.sweep(facts, files, configs).collect()))
+    assert len(searches) == 1
+    configs["weight"] = {"top_k": 4, "weight_entity": 0.0}  # other partners than the baseline's
+    got = sorted(map(tuple, stages.sweep(facts, files, configs).collect()))
+    want = []
+    for name, changes in configs.items():
+        p = signals.Thresholds(**{k: v for k, v in changes.items() if k != "confidence"})
+        pairs = signals.guard_pairs(retrieval.candidate_pairs(facts, p), facts)[0]
+        judged = signals.reason(signals.signals(signals.with_pair(pairs.select("a", "b"), facts, files), p), None, p).collect()
+        want += [(name, c, sum(r.category == c for r in judged), sum(r.category == c and r.confidence >= 0.5 for r in judged)) for c in {r.category for r in judged}]
+    assert got == sorted(want)
+
+
 def test_verdict_grid(spark):
     cases = [(0.0, "equal", "CORROBORATES"), (0.01, "equal", "CORROBORATES"), (0.05, "equal", "UNCERTAIN"), (0.3, "equal", "CONTRADICTS"), (0.3, "overlaps", "CONTRADICTS"), (0.3, "adjacent", "TEMPORAL_EVOLUTION"), (0.3, "disjoint", "TEMPORAL_EVOLUTION"), (0.3, "missing", "UNCERTAIN")]
     df = spark.createDataFrame(cases, "delta double, period_relation string, want string")
